@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from foliant.llm import exact_dedup, mixing, ring_sharding
+from foliant.llm import byte_bpe, exact_dedup, mixing, ring_sharding, wavelet
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op5_ring_sharding": ring_sharding.op5_ring_sharding,
+        "op6_wavelet_shards": wavelet.op6_wavelet_shards,
+        "op7_byte_bpe": byte_bpe.op7_byte_bpe,
         "op9_mixing": mixing.op9_mixing,
     }
 
