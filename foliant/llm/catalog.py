@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from foliant.llm import byte_bpe, exact_dedup, mixing, ring_sharding, wavelet
+from foliant.llm import byte_bpe, chat_format, exact_dedup, mixing, ring_sharding, wavelet
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_chat_format": chat_format.op2_chat_format,
         "op5_ring_sharding": ring_sharding.op5_ring_sharding,
         "op6_wavelet_shards": wavelet.op6_wavelet_shards,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op2_chat_format": chat_format.ORACLE}
