@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import byte_bpe, chat_format, exact_dedup, mixing, ring_sharding, wavelet
+from foliant.llm import byte_bpe, chat_format, exact_dedup, hnsw, mixing, ring_sharding, wavelet
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_wavelet_shards": wavelet.op6_wavelet_shards,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
         "op9_mixing": mixing.op9_mixing,
+        "op10_hnsw_near_dedup": hnsw.op10_hnsw_near_dedup,
     }
 
 
