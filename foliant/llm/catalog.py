@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from foliant.llm import byte_bpe, chat_format, exact_dedup, hnsw, mixing, ring_sharding, wavelet
+from foliant.llm import byte_bpe, chat_format, exact_dedup, hnsw, mixing, quality, ring_sharding, wavelet
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_chat_format": chat_format.op2_chat_format,
+        "op3_quality_classifier": quality.op3_quality_classifier,
         "op5_ring_sharding": ring_sharding.op5_ring_sharding,
         "op6_wavelet_shards": wavelet.op6_wavelet_shards,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
