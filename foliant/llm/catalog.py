@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import byte_bpe, chat_format, exact_dedup, hnsw, mixing, quality, ring_sharding, wavelet
+from foliant.llm import byte_bpe, chat_format, exact_dedup, hnsw, jaccard, mixing, quality, ring_sharding, wavelet
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_quality_classifier": quality.op3_quality_classifier,
+        "op4_jaccard_join": jaccard.op4_jaccard_join,
         "op5_ring_sharding": ring_sharding.op5_ring_sharding,
         "op6_wavelet_shards": wavelet.op6_wavelet_shards,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
