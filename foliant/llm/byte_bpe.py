@@ -193,20 +193,24 @@ def _cache(path: str) -> WordCache:
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _digests(path: str):
+def _digests(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, cache = load(path), _cache(path)
         text_of = np.array([str(i) for i in range(max(table.bytes_of) + 1)], object)
         for batch in batches:
-            n, shas, back = [], [], []
+            n, shas, back, kept = [], [], [], []
             for _, ids in encode_texts(batch.column("text").to_pylist(), cache):
                 n.append(len(ids))
                 shas.append(hashlib.sha256(" ".join(text_of[ids]).encode()).hexdigest())
                 back.append(hashlib.sha256(table.decode(ids.tolist())).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                if with_ids:
+                    kept.append(ids.astype(np.int32))
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(pa.array(kept, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -242,13 +246,15 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFrame:
     """One row per row of ``docs``: encoded and decoded again in one pass, without a shuffle.
 
+    With ``with_ids`` the ids themselves follow.
+
     A null text counts as empty: no ids, and the digests of nothing. Null and repeated ids are
     ordinary rows; an empty table gives an empty table; other columns are not read.
     """
-    return _texts(docs).mapInArrow(_digests(ranks_path), SCHEMA)
+    return _texts(docs).mapInArrow(_digests(ranks_path, with_ids), SCHEMA + ", ids array<int>" * with_ids)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

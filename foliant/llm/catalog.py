@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import byte_bpe, chat_format, exact_dedup, hnsw, jaccard, mixing, quality, ring_sharding, wavelet
+from foliant.llm import byte_bpe, chat_format, exact_dedup, hnsw, jaccard, license_scan, mixing, quality, ring_sharding, wavelet
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_ring_sharding": ring_sharding.op5_ring_sharding,
         "op6_wavelet_shards": wavelet.op6_wavelet_shards,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+        "op8_license_scan": license_scan.op8_license_scan,
         "op9_mixing": mixing.op9_mixing,
         "op10_hnsw_near_dedup": hnsw.op10_hnsw_near_dedup,
     }
