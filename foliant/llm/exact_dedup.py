@@ -187,7 +187,7 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     Of rows that repeat both id and text one stays.
     """
     verdict = materialize(dedup_groups(docs).select("doc_id", "text_sha256", "kept"), "verdict")
-    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
     gone = verdict.where("not kept").select(F.col("doc_id").alias("g_id"), F.col("text_sha256").alias("g_sha")).distinct()
     again = (
         verdict.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1")
@@ -195,11 +195,11 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     )
     again = materialize(again, "again")
     repeated = not again.isEmpty()
-    out = (gone.union(again) if repeated else gone)
-    on = docs["doc_id"].eqNullSafe(F.col("g_id")) & (sha == F.col("g_sha"))
-    kept = docs.join(out, on, "left_anti")
+    out = gone.union(again) if repeated else gone
+    among = lambda t: docs["doc_id"].eqNullSafe(t["g_id"]) & (sha == t["g_sha"])
+    kept = docs.join(out, among(out), "left_anti")
     if repeated:
-        kept = kept.unionByName(docs.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"]))
+        kept = kept.unionByName(docs.join(again, among(again), "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept
 
 
