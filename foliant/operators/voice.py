@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,3 +58,14 @@ def _normalized(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def normalized_transcript(c: Column) -> Column:
     return _normalized(c)
+
+
+def choose_offline_voice(voices: DataFrame) -> DataFrame:
+    """Of (name, language, country, network) the voice to read with: English and offline, US first, then by name."""
+    able = voices.where(~F.col("network") & (F.lower("language") == "en"))
+    return able.agg(F.min_by(F.struct("name", "country"), F.struct(F.col("country") != "US", "name")).alias("v")).select("v.*")
+
+
+def is_visible(c: Column) -> Column:
+    """Whether partial output has a letter to show."""
+    return F.coalesce(c, F.lit("")).rlike(r"\p{L}")

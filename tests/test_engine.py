@@ -271,3 +271,34 @@ def test_stream(spark, sf, tmp_path):
 def test_masked_mean(spark):
     frame = spark.createDataFrame([([[1.0, 2.0], [3.0, 6.0], [9.0, 9.0]], [1, 1, 0])], "t array<array<double>>, m array<int>")
     assert frame.select(retrieve.masked_mean("t", "m").alias("v")).first()["v"] == [2.0, 4.0]
+
+
+def test_ingest_job(spark, tmp_path):
+    from foliant.plans import ingest_job
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("<!-- atlas-page: 1 -->\n# Page 1\n## Brakes\n\nCheck the brakes. See Fig. 3 now.\n<!-- atlas-page: 2 -->\nMore text.")
+    (tmp_path / "vocab.txt").write_text("\n".join(fx.vocabulary()))
+    vocabulary = ingest_job.read_vocabulary(spark, f"{tmp_path}/vocab.txt")
+    assert vocabulary == fx.vocabulary()
+    chunks = ingest_job.run(spark, ingest_job.IngestJob(f"{tmp_path}/in", f"file://{tmp_path}/out", vocabulary))
+    rows = chunks.orderBy("page").collect()
+    assert [(r["page"], r["section"]) for r in rows] == [(1, "Brakes"), (2, "Brakes")] and rows[1]["text"].endswith("More text.")
+    assert tuple(ingest_job.summary(chunks).first()) == (2, 2, 1)
+    pages = chunks.select("doc_id", F.col("page").alias("page_number"))
+    ingest_job.check_pages(pages, pages)
+    with pytest.raises(ValueError):
+        ingest_job.check_pages(pages, pages.where("page_number = 1"))
+    images_ = spark.createDataFrame([("a.png", "t.png")], "asset_path string, thumbnail_path string")
+    with pytest.raises(ValueError, match="t.png"):
+        ingest_job.check_assets(images_, spark.createDataFrame([("a.png",)], "path string"))
+    assert ingest_job.zip_strict(spark.range(3), spark.range(3), "id").count() == 3
+    with pytest.raises(ValueError):
+        ingest_job.zip_strict(spark.range(3), spark.range(4), "id")
+
+
+def test_voice_choice(spark):
+    voices = [("b", "en", "GB", False), ("z", "en", "US", False), ("a", "en", "US", True), ("c", "de", "US", False)]
+    frame = spark.createDataFrame(voices, "name string, language string, country string, network boolean")
+    assert voice.choose_offline_voice(frame).first()["name"] == "z"
+    assert [r[0] for r in spark.createDataFrame([("- 1",), ("a",), (None,)], "t string").select(voice.is_visible(F.col("t"))).collect()] == [False, True, False]
