@@ -8,9 +8,11 @@ the first ``n - ceil(t n) + 1`` members of a set of n enter the index: two linke
 * Equal sets are one entry. For sets that are merely similar, answers are derived from each other: each
   list first compares its sets with one leader only, and links join components. Pairs within a component
   need no answer any more, so a group of k near copies costs about k comparisons instead of k * k / 2.
-* What is left, pairs of different components that share a list, is counted over all lists, so that the
-  number of shared prefix members bounds the overlap; a pair of which both sets have been compared with
-  the same leader is decided from those two answers where they suffice. Only the others are compared.
+* What is left are pairs of different components that share a list. Each entry carries the parities of its
+  set's members in 512 hashed cells; two sets differ in at least as many members as their parities differ,
+  which ends most pairs inside the list. The rest is counted over all lists, so that the number of shared
+  prefix members bounds the overlap; a pair of which both sets have been compared with the same leader is
+  decided from those two answers where they suffice. Only the others are compared.
 
 The order needs a global frequency, but any order is correct: document counts are kept in 2**20 hashed
 cells, a table of fixed size.
@@ -31,6 +33,7 @@ from foliant.llm.spans import mix, span_hashes
 from foliant.runtime import broadcast_if_small, materialize
 
 SHINGLE_WORDS, PERCENT, CELL_BITS, SLICE, LEADER_ROUNDS, SPAN = 3, 90, 20, 1 << 14, 3, 1 << 21
+PARITIES = 512
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -101,34 +104,36 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _profile(k: int):
-    """Per document (doc_id, n, fp1, fp2); per task, the number of documents in each cell, in slices."""
+    """Per document (doc_id, n, fp1, fp2, bits); per task, the number of documents in each cell, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.int32)
-        names = ["doc_id", "n", "fp1", "fp2", "slice", "cells"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc_id", "n", "fp1", "fp2", "bits", "slice", "cells"]
         any_ = False
         for batch in batches:
-            n, fp1, fp2 = [], [], []
+            n, fp1, fp2, bits = [], [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 any_ = any_ or len(s) > 0
                 np.add.at(cells, (s >> _U(64 - CELL_BITS)).astype(np.int64), 1)
                 n.append(len(s))
                 fp1.append(int(mix(s).sum(dtype=_U)))
                 fp2.append(int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U)))
+                odd = np.bincount((s & _U(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+                bits.append(np.packbits(odd.astype(bool)).view(np.int64))
             empty = [None] * batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(n, pa.int64()), _signed(np.array(fp1, _U)), _signed(np.array(fp2, _U)),
-                    pa.array(empty, pa.int32()), pa.array(empty, pa.binary()),
+                    pa.array(bits, pa.list_(pa.int64())), pa.array(empty, pa.int32()), pa.array(empty, pa.binary()),
                 ],
                 names,
             )
         if any_:
             rows = [(i, cells[i * SLICE : (i + 1) * SLICE].tobytes()) for i in range(len(cells) // SLICE)]
             none = pa.array([None] * len(rows), pa.int64())
+            bare = pa.array([None] * len(rows), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names
+                [none, none, none, none, bare, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names
             )
 
     return run
@@ -214,10 +219,12 @@ def _cross(percent: int):
     """Pairs of different components of each list, from entries sorted by (token, n, id).
 
     The pairs of an entry with the ones after it end at the first that is too large (the block
-    skip by size); pairs whose positions rule out the needed overlap are skipped.
+    skip by size); pairs whose positions or parities rule out the needed overlap are skipped.
     """
 
-    def pairs(token, ids, n, pos, comp) -> Iterator[pa.RecordBatch]:
+    def pairs(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        token, ids, n, pos, comp = (part.column(c).to_numpy() for c in ("token", "id", "n", "pos", "comp"))
+        bits = part.column("bits").flatten().to_numpy().reshape(len(token), -1)
         live, d = np.arange(len(token)), 1
         while len(live):
             live = live[live + d < len(token)]
@@ -228,9 +235,13 @@ def _cross(percent: int):
                 return
             n1, n2, p1, p2 = n[live], n[other], pos[live], pos[other]
             most = np.minimum(p1, p2) + 1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1)
-            good = (comp[live] != comp[other]) & (most >= needed(n1, n2, percent))
-            if good.any():
-                a, b = live[good], other[good]
+            least = needed(n1, n2, percent)
+            good = np.flatnonzero((comp[live] != comp[other]) & (most >= least))
+            a, b = live[good], other[good]
+            apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+            near = apart <= n[a] + n[b] - 2 * least[good]
+            a, b = a[near], b[near]
+            if len(a):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[a]), pa.array(ids[b]), pa.array(n[a]), pa.array(n[b])], ["a", "b", "na", "nb"]
                 )
@@ -247,11 +258,11 @@ def _cross(percent: int):
                 continue
             table = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
             cut = int(np.searchsorted(table.column("token").to_numpy(), last))
-            yield from pairs(*(table.slice(0, cut).column(c).to_numpy() for c in ("token", "id", "n", "pos", "comp")))
+            yield from pairs(table.slice(0, cut))
             rest = [table.slice(cut)]
         if rest:
             table = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
-            yield from pairs(*(table.column(c).to_numpy() for c in ("token", "id", "n", "pos", "comp")))
+            yield from pairs(table)
 
     return run
 
@@ -312,24 +323,34 @@ def _enough(percent: int) -> Column:
     return F.col("shared") >= _needed(F.col("na"), F.col("nb"), percent) - rest
 
 
-def _leader_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each list's sets of other components, against one leader of the list."""
-    lead = lists.groupBy("token").agg(F.min_by(F.struct("id", "n", "comp"), F.xxhash64("id", F.lit(turn))).alias("l"))
+def _leader_pairs(lists: DataFrame, bits: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each list's sets of other components, against one leader of the list.
+
+    The first leader is the set in which the token comes first: it has the fewest rare members, as the text
+    has that others were made from. Later leaders are drawn by a hash.
+    """
+    key = F.struct("pos" if turn == 0 else F.lit(0), F.xxhash64("id", F.lit(turn)))
+    lead = lists.groupBy("token").agg(F.min_by(F.struct("id", "n", "comp"), key).alias("l"))
     fits = (F.col("n") * percent <= F.col("l.n") * 100) & (F.col("l.n") * percent <= F.col("n") * 100)
     pairs = lists.join(lead, "token").where((F.col("comp") != F.col("l.comp")) & fits)
     pairs = pairs.select(
         F.col("l.id").alias("a"), F.col("id").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb"),
     )
-    return pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(_enough(percent))
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(_enough(percent))
+    pairs = pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), "a")
+    pairs = pairs.join(bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b")), "b")
+    differ = F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(differ, F.lit(0), lambda s, x: s + x)
+    return pairs.where(apart <= F.col("na") + F.col("nb") - 2 * _needed(F.col("na"), F.col("nb"), percent)).drop("bits_a", "bits_b")
 
 
 def profile(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Set sizes and fingerprints by document, and the summed cells in slices."""
     both = materialize(
-        docs.mapInArrow(_profile(k), "doc_id long, n long, fp1 long, fp2 long, slice int, cells binary"), "profiles"
+        docs.mapInArrow(_profile(k), "doc_id long, n long, fp1 long, fp2 long, bits array<long>, slice int, cells binary"), "profiles"
     )
     cells = both.where("slice is not null").select("slice", "cells").groupBy("slice").applyInPandas(_add_slices, "slice int, cells binary")
-    return both.where("slice is null").select("doc_id", "n", "fp1", "fp2"), cells
+    return both.where("slice is null").select("doc_id", "n", "fp1", "fp2", "bits"), cells
 
 
 def similarity_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -353,9 +374,11 @@ def similarity_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int
     by_token = postings.repartition("token").sortWithinPartitions("token", "n", "fp1", "id")
     lists = materialize(by_token.mapInArrow(_lists, "token long, id long, n int, pos int"), "lists")
 
+    bits = profiles.where("n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.first("bits").alias("bits"))
+
     compared, parts = None, None
     for turn in range(LEADER_ROUNDS):
-        pairs = materialize(_leader_pairs(_with_components(lists, parts), turn, percent), "leaders")
+        pairs = materialize(_leader_pairs(_with_components(lists, parts), bits, turn, percent), "leaders")
         if pairs.isEmpty():
             break
         answers = _compare(pairs, known, k, percent)
@@ -364,8 +387,8 @@ def similarity_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int
 
     cross = _with_components(lists, parts)
     mixed = cross.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    cross = cross.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token", "n", "id")
-    left = cross.select("token", "id", "n", "pos", "comp").mapInArrow(_cross(percent), "a long, b long, na int, nb int")
+    cross = cross.join(mixed, "token", "left_semi").join(bits, "id").repartition("token").sortWithinPartitions("token", "n", "id")
+    left = cross.select("token", "id", "n", "pos", "comp", "bits").mapInArrow(_cross(percent), "a long, b long, na int, nb int")
     left = left.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(
         F.first(F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb"))).alias("na"),
         F.first(F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na"))).alias("nb"), F.count("*").alias("shared"),
@@ -417,7 +440,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     found = similarity_components(docs, k, percent)
     gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("g_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == F.col("g_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["g_id"], "left_anti")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
