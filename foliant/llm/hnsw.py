@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from foliant.llm.graph import connected_components
 from foliant.runtime import broadcast_if_small, materialize
 
-THRESHOLD, SHARD_ROWS, M, EF, BLOCK, AUDIT, RECALL = 0.98, 8192, 16, 48, 256, 64, 0.99
+THRESHOLD, SHARD_ROWS, M, EF, BLOCK, AUDIT, RECALL = 0.98, 8192, 12, 32, 256, 128, 0.95
 
 
 class Hnsw:
     """Graph over the unit rows of a matrix; build and search handle blocks of rows at once."""
 
     def __init__(self, rows: np.ndarray, m: int = M, ef: int = EF, seed: int = 10):
-        self.rows, self.m = rows, m
+        self.rows, self.m = rows.astype(np.float32), m
         n = len(rows)
         draw = np.random.default_rng(seed).random(n)
         self.level = np.minimum((-np.log(np.maximum(draw, 1e-12)) / np.log(m)).astype(int), 8)
@@ -54,7 +54,7 @@ class Hnsw:
             if not len(here):
                 continue
             own = min(self.m, len(here) - 1)
-            cand, score = np.full((len(here), 0), -1), np.empty((len(here), 0))
+            cand, score = np.full((len(here), 0), -1), np.empty((len(here), 0), np.float32)
             if own > 0:
                 part = near[np.ix_(here, here)]
                 at = np.argpartition(-part, own - 1, 1)[:, :own]
@@ -72,7 +72,7 @@ class Hnsw:
         cand, score = np.take_along_axis(cand, order, 1), np.take_along_axis(score, order, 1)
         valid = np.isfinite(score)
         x = self.rows[np.maximum(cand, 0)]
-        mutual = np.einsum("acd,abd->acb", x, x)
+        mutual = x @ x.transpose(0, 2, 1)
         kept, n = np.zeros(cand.shape, bool), cand.shape[1]
         for c in range(n):
             blocked = (kept[:, :c] & (mutual[:, c, :c] > score[:, c : c + 1])).any(1) if c else np.zeros(len(cand), bool)
@@ -102,15 +102,15 @@ class Hnsw:
             for r, h in enumerate(hard):
                 new[r, : n[h]] = source[at[h] : at[h] + n[h]]
             cand = np.hstack([table[nodes[hard]], new])
-            score = np.einsum("acd,ad->ac", self.rows[np.maximum(cand, 0)], self.rows[nodes[hard]])
+            score = (self.rows[np.maximum(cand, 0)] @ self.rows[nodes[hard]][:, :, None])[:, :, 0]
             table[nodes[hard]] = self._choose(cand, np.where(cand < 0, -np.inf, score), width)
 
-    def _beam(self, q: np.ndarray, entry: np.ndarray, k: int, ef: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def _beam(self, q: np.ndarray, entry: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``ef`` best found on level k from the entries, best first: row numbers (-1: none) and similarities."""
-        nq, n = len(q), len(self.rows)
+        nq, n, step = len(q), len(self.rows), max(4, ef // 6)
         seen = np.zeros((nq, n + 1), bool)
         seen[:, n] = True
-        ids, sims, open_ = np.full((nq, ef), n), np.full((nq, ef), -np.inf), np.zeros((nq, ef), bool)
+        ids, sims, open_ = np.full((nq, ef), n), np.full((nq, ef), -np.inf, np.float32), np.zeros((nq, ef), bool)
         r = np.arange(nq)
         entry = np.where(entry < 0, n, entry)[:, :ef]
         for c in range(entry.shape[1]):
@@ -140,7 +140,7 @@ class Hnsw:
             width = max(1, int(fresh.sum(1).max()))
             nb.sort(1)
             nb = nb[:, :width]
-            s = np.einsum("ad,acd->ac", q[live], self.rows[np.minimum(nb, n - 1)])
+            s = (self.rows[np.minimum(nb, n - 1)] @ q[live][:, :, None])[:, :, 0]
             s[nb == n] = -np.inf
             all_ids, all_sims = np.hstack([ids[live], nb]), np.hstack([sims[live], s])
             all_open = np.hstack([open_[live], nb < n])
@@ -154,45 +154,49 @@ class Hnsw:
 
     def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """Down the levels with a narrow beam, then ``ef`` wide on level 0."""
+        q = q.astype(np.float32)
         entry = np.full((len(q), 1), self.entry)
         for k in range(self.top, 0, -1):
             entry, _ = self._beam(q, entry, k, 4)
         return self._beam(q, entry, 0, min(ef, len(self.rows)))
 
 
-def links(graph: Hnsw, q: np.ndarray, ef: int, threshold: float):
-    """Yields (query numbers, row numbers) of verified links, block by block.
+def links(graph: Hnsw, rows: np.ndarray, q: np.ndarray, ef: int, threshold: float):
+    """Yields (query numbers, row numbers) of links, block by block, verified in double precision.
 
-    A query whose whole beam lies above the threshold is searched again with four times the beam; a beam of
-    a quarter of the shard is a scan of the shard, which is exact.
+    The graph keeps single precision; what it finds a little below the threshold is verified too. A query
+    whose whole beam lies above the threshold is searched again with four times the beam. A beam of a
+    thirty-second of the shard touches as many links as the shard has vectors: from there on the query
+    scans the shard, which is exact.
     """
-    n = len(graph.rows)
+    n, near = len(rows), threshold - 1e-5
     for at in range(0, len(q), BLOCK):
         todo, width = np.arange(at, min(at + BLOCK, len(q))), ef
         while len(todo):
-            if width * 4 >= n:
-                a, b = np.nonzero(q[todo] @ graph.rows.T >= threshold)
+            if width * 32 >= n and width > ef or width >= n:
+                a, b = np.nonzero(q[todo] @ rows.T >= threshold)
                 yield todo[a], b
                 break
             ids, sims = graph.search(q[todo], width)
-            more = sims[:, -1] >= threshold
-            a, c = np.nonzero((sims >= threshold) & (ids >= 0) & ~more[:, None])
-            yield todo[a], ids[a, c]
+            more = sims[:, -1] >= near
+            a, c = np.nonzero((sims >= near) & (ids >= 0) & ~more[:, None])
+            a, b = todo[a], ids[a, c]
+            true = np.einsum("ad,ad->a", q[a], rows[b]) >= threshold
+            yield a[true], b[true]
             todo, width = todo[more], 4 * width
 
 
-def audited_beam(graph: Hnsw, q: np.ndarray, ef: int, threshold: float, recall: float, seed: int = 11) -> int:
+def audited_beam(graph: Hnsw, rows: np.ndarray, q: np.ndarray, ef: int, threshold: float, recall: float, seed: int = 11) -> int:
     """The least doubling of ``ef`` at which sampled queries find the asked share of what brute force finds.
 
-    Links are rare; the sample's 10 nearest neighbours are audited beside them.
+    What is audited are the sample's links and, as links are rare, its nearest neighbours.
     """
-    n = len(graph.rows)
+    n = len(rows)
     pick = np.random.default_rng(seed).permutation(len(q))[:AUDIT]
-    exact = q[pick] @ graph.rows.T
-    k = min(10, n)
+    exact = q[pick] @ rows.T
     true = exact >= threshold
-    np.put_along_axis(true, np.argpartition(-exact, k - 1, 1)[:, :k], True, 1)
-    while ef * 4 < n:
+    np.put_along_axis(true, exact.argmax(1)[:, None], True, 1)
+    while ef < n:
         ids, _ = graph.search(q[pick], ef)
         got = np.zeros((len(pick), n + 1), bool)
         np.put_along_axis(got, np.where(ids < 0, n, ids), True, 1)
@@ -229,8 +233,8 @@ def _task(threshold: float, recall: float):
         found, label = np.zeros(len(x), np.int64), np.arange(len(x))
         if len(first) and len(second):
             graph = Hnsw(x[first])
-            ef = audited_beam(graph, x[second], EF, threshold, recall)
-            for qs, rs in links(graph, x[second], ef, threshold):
+            ef = audited_beam(graph, x[first], x[second], EF, threshold, recall)
+            for qs, rs in links(graph, x[first], x[second], ef, threshold):
                 a, b = second[qs], first[rs]
                 other = a != b
                 a, b = a[other], b[other]
