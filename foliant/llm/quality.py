@@ -193,9 +193,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most train_docs rows
     table = texts.mapInArrow(_features, "doc_id long, quality int, ids array<int>, counts array<int>").toArrow()
     order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
-    ids, counts = table["ids"].to_pylist(), table["counts"].to_pylist()
+    ids, counts = (table[c].combine_chunks() for c in ("ids", "counts"))
+    if not len(order):
+        return train([], np.empty(0, int))
+    at, flat = ids.offsets.to_numpy(), (ids.values.to_numpy(), counts.values.to_numpy())
     quality = table["quality"].to_numpy()
-    return train([(np.array(ids[i], np.int64), np.array(counts[i], np.float32)) for i in order], quality[order].astype(int))
+    return train([tuple(x[at[i] : at[i + 1]] for x in flat) for i in order], quality[order].astype(int))
 
 
 def score(text: Column, model: Model) -> Column:
