@@ -21,6 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm.memory import lean
 from foliant.llm.pretoken import WordCache, encode_texts
 
 BUCKETS, LONG, ROWS = (4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 128, 256, 512, 1024), 1024, 1 << 16
@@ -231,7 +232,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """``(doc_id, ids)`` of every row; a null or empty text has no ids. Repeated rows are encoded each."""
-    return _texts(docs).mapInArrow(_ids(ranks_path), "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(lean(_ids(ranks_path), "text"), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -254,7 +255,7 @@ def digests(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFra
     A null text counts as empty: no ids, and the digests of nothing. Null and repeated ids are
     ordinary rows; an empty table gives an empty table; other columns are not read.
     """
-    return _texts(docs).mapInArrow(_digests(ranks_path, with_ids), SCHEMA + ", ids array<int>" * with_ids)
+    return _texts(docs).mapInArrow(lean(_digests(ranks_path, with_ids), "text"), SCHEMA + ", ids array<int>" * with_ids)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.llm.memory import lean
 from foliant.runtime import materialize
 
 MIN_CHUNK, CHUNK_BITS, MAX_CHUNK, WINDOW = 256, 10, 16_384, 32
@@ -140,9 +141,9 @@ def dedup_groups(docs: DataFrame, digest: Callable[[bytes], int] = digest64) ->
     """
     plain = _plain(docs)
     recipes = materialize(
-        plain.mapInArrow(_recipes(digest), "doc_id long, text_sha256 string, recipe array<long>"), "recipes"
+        plain.mapInArrow(lean(_recipes(digest)), "doc_id long, text_sha256 string, recipe array<long>"), "recipes"
     )
-    chunks = plain.mapInArrow(_chunks(digest, False), "h long, chunk binary").distinct()
+    chunks = plain.mapInArrow(lean(_chunks(digest, False), "text"), "h long, chunk binary").distinct()
     shared = chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     shared = materialize(shared, "collided")
     if shared.isEmpty():
@@ -172,7 +173,7 @@ def _with_ordinals(docs, recipes, chunks, shared, digest) -> DataFrame:
     texts = texts.join(touched, on, "left_semi").dropDuplicates(["doc_id", "text_sha256"])
     schema = "doc_id long, text_sha256 string, pos int, h long, chunk binary"
     lists = (
-        texts.mapInArrow(_chunks(digest, True), schema).join(table, ["h", "chunk"], "left")
+        texts.mapInArrow(lean(_chunks(digest, True), "text"), schema).join(table, ["h", "chunk"], "left")
         .groupBy("doc_id", "text_sha256")
         .agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("ordinal", F.lit(0)).alias("o")))).alias("l"))
         .select("doc_id", "text_sha256", F.col("l.o").alias("ordinals"))

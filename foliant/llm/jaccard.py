@@ -29,10 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.graph import connected_components
+from foliant.llm.memory import lean
 from foliant.llm.spans import mix, span_hashes
 from foliant.runtime import broadcast_if_small, materialize
 
-SHINGLE_WORDS, PERCENT, CELL_BITS, SLICE, LEADER_ROUNDS, SPAN = 3, 90, 20, 1 << 14, 3, 1 << 21
+SHINGLE_WORDS, PERCENT, CELL_BITS, SLICE, LEADER_ROUNDS, SPAN = 3, 90, 20, 1 << 14, 3, 1 << 19
 PARITIES = 512
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -303,7 +304,7 @@ def _compare(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
         .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "b", "text_a", "text_b")
     )
-    out = rows.mapInArrow(_verify(k), "a long, b long, na long, nb long, overlap long")
+    out = rows.mapInArrow(lean(_verify(k), "text_b"), "a long, b long, na long, nb long, overlap long")
     return materialize(out.withColumn("linked", F.col("overlap") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent), "compared")
 
 
@@ -347,7 +348,7 @@ def _leader_pairs(lists: DataFrame, bits: DataFrame, turn: int, percent: int) ->
 def profile(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Set sizes and fingerprints by document, and the summed cells in slices."""
     both = materialize(
-        docs.mapInArrow(_profile(k), "doc_id long, n long, fp1 long, fp2 long, bits array<long>, slice int, cells binary"), "profiles"
+        docs.mapInArrow(lean(_profile(k)), "doc_id long, n long, fp1 long, fp2 long, bits array<long>, slice int, cells binary"), "profiles"
     )
     cells = both.where("slice is not null").select("slice", "cells").groupBy("slice").applyInPandas(_add_slices, "slice int, cells binary")
     return both.where("slice is null").select("doc_id", "n", "fp1", "fp2", "bits"), cells
@@ -370,9 +371,9 @@ def similarity_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int
     for row in slices.collect():  # a table of fixed size
         cells[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["cells"], np.int64)
     order = spark.sparkContext.broadcast(cells)
-    postings = known.mapInArrow(_postings(k, percent, order), "token long, n int, pos int, fp1 long, id long")
+    postings = known.mapInArrow(lean(_postings(k, percent, order)), "token long, n int, pos int, fp1 long, id long")
     by_token = postings.repartition("token").sortWithinPartitions("token", "n", "fp1", "id")
-    lists = materialize(by_token.mapInArrow(_lists, "token long, id long, n int, pos int"), "lists")
+    lists = materialize(by_token.mapInArrow(lean(_lists), "token long, id long, n int, pos int"), "lists")
 
     bits = profiles.where("n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.first("bits").alias("bits"))
 
@@ -388,7 +389,7 @@ def similarity_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int
     cross = _with_components(lists, parts)
     mixed = cross.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     cross = cross.join(mixed, "token", "left_semi").join(bits, "id").repartition("token").sortWithinPartitions("token", "n", "id")
-    left = cross.select("token", "id", "n", "pos", "comp", "bits").mapInArrow(_cross(percent), "a long, b long, na int, nb int")
+    left = cross.select("token", "id", "n", "pos", "comp", "bits").mapInArrow(lean(_cross(percent)), "a long, b long, na int, nb int")
     left = left.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(
         F.first(F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb"))).alias("na"),
         F.first(F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na"))).alias("nb"), F.count("*").alias("shared"),

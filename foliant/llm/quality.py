@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm.memory import lean, release
 from foliant.llm.spans import SpanIndex, mix, span_hashes
 
 BUCKETS, DIM, GRAMS, EPOCHS, BATCH, RATE, SEED = 1 << 17, 12, (3, 4), 4, 32, 20.0, 3
@@ -191,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     known = known.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(train_docs)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most train_docs rows
-    table = texts.mapInArrow(_features, "doc_id long, quality int, ids array<int>, counts array<int>").toArrow()
+    table = texts.mapInArrow(lean(_features, "text"), "doc_id long, quality int, ids array<int>, counts array<int>").toArrow()
     order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
     ids, counts = (table[c].combine_chunks() for c in ("ids", "counts"))
     if not len(order):
@@ -209,6 +210,7 @@ def score(text: Column, model: Model) -> Column:
         run = model.scorer()
         for texts in batches:
             yield pd.Series(run(texts.fillna("").tolist()))
+            release()
 
     return scores(text)
 

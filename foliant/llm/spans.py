@@ -24,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(n: int) -> list[np.ndarray]:
     global _powers
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, (1 << 19) + 2)
         _powers = []
         for pair in _BASES:
             for base in pair:
