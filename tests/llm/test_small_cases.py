@@ -240,3 +240,25 @@ def test_hnsw(spark):
         assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903, 904, 905, 906)) and not got[None]["kept"]
         assert got[130]["component_id"] == 100 and got[202]["component_id"] == 200
     assert hnsw.near_duplicates(table.where("false")).count() == 0
+
+
+def test_lean_slices_keep_every_row_in_order():
+    import pyarrow as pa
+
+    from foliant.llm.memory import lean
+
+    texts = ["a", None, "", "b" * 50, "c", "c", "ü" * 9, None]
+    whole = pa.record_batch({"doc_id": pa.array(range(8)), "text": pa.array(texts)})
+    empty = whole.slice(0, 0)
+    seen = []
+
+    def run(batches):
+        for b in batches:
+            seen.append(b.num_rows)
+            yield b
+
+    out = list(lean(run, "text", 10)(iter([whole, empty, whole.slice(3, 1)])))
+    assert [t for b in out for t in b.column("text").to_pylist()] == [*texts, texts[3]]
+    assert [i for b in out for i in b.column("doc_id").to_pylist()] == [*range(8), 3]
+    assert len(seen) > 3 and sum(seen) == 9
+    assert [b.num_rows for b in lean(run)(iter([whole]))] == [8]
