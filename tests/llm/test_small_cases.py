@@ -242,6 +242,30 @@ def test_hnsw(spark):
     assert hnsw.near_duplicates(table.where("false")).count() == 0
 
 
+def test_audit_of_a_shard_with_itself():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(8192, 32))
+    x[:300] = x[300:600] + 0.1 * rng.normal(size=(300, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Hnsw(x)
+    ef = hnsw.audited_beam(graph, x, x, hnsw.EF, hnsw.THRESHOLD, hnsw.RECALL, True)
+    true = np.zeros((8192, 8192), bool)
+    for at in range(0, 8192, 1024):
+        true[at : at + 1024] = x[at : at + 1024] @ x.T >= hnsw.THRESHOLD
+    np.fill_diagonal(true, False)
+    found = np.zeros_like(true)
+    for a, b in hnsw.links(graph, x, x, ef, hnsw.THRESHOLD):
+        found[a, b] = True
+    assert true.sum() > 300 and (found & true).sum() >= 0.99 * true.sum()
+    # the nearest neighbours that the audit stands on, for rows it has not drawn
+    some = np.arange(0, 8192, 32)
+    exact = x[some] @ x.T
+    exact[np.arange(len(some)), some] = -np.inf
+    near = np.argsort(-exact, 1)[:, :10]
+    ids = graph.search(x[some], ef)[0] if ef < len(x) else near
+    assert np.mean([len(np.intersect1d(a, b)) for a, b in zip(ids, near)]) >= 9.8
+
+
 def test_lean_slices_keep_every_row_in_order():
     import pyarrow as pa
 
