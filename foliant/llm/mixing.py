@@ -7,10 +7,12 @@ tilted. S_s, the sum over a source's documents, is the sufficient statistic of g
 one distributed aggregation makes it and the Newton iterations then run as a fold over one row per
 source, so the corpus is read once however many iterations there are.
 
-Rates become copies by a hash of the row: floor(rate) or one more, with probability equal to the
-fraction. What that leaves of each source's target is then taken up by a bounded set of documents, a few
-of each power-of-two size class, whose copies move by one. Every step depends on row values alone, so
-reruns agree and a hot source is an ordinary sum.
+Rates become copies by a hash of the row: floor(rate) or one more, where the hash lies below a cut. Cuts
+are found by source and power-of-two class of size, longest class first, from the words of each of 4,096
+hash bins: a class gets its share of what is left of the target, to within a bin, and what its bin leaves
+over or short is spread over all shorter documents by their rate. The bin at one class's cut is then cut
+inside, and the last few words are taken up by a few documents of each class, whose copies move by one.
+Every step depends on row values alone, so reruns agree and a hot source is an ordinary sum.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from foliant.runtime import broadcast_if_small, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MAX_RATE, NEWTON_STEPS, PER_CLASS = (5, 2, 1), 3, 60, 6
+HASH_BITS, BIN_BITS = 53, 12
+BIN = 1 << (HASH_BITS - BIN_BITS)
 
 
 def word_count(text: str = "text") -> Column:
@@ -68,8 +72,13 @@ def newton_rates(table: DataFrame, steps: int = NEWTON_STEPS) -> DataFrame:
     return table.withColumn("rate", F.when((size > 0) & (target > 0), solved).otherwise(0.0))
 
 
-def _unit(*cols: str, seed: int) -> Column:
-    return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+def _hash(*cols: str, seed: int) -> Column:
+    return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << HASH_BITS))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, inside higher-order functions too."""
+    return F.transform(F.array(value), use)[0]
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE, seed: int = 9) -> DataFrame:
@@ -92,25 +101,109 @@ def _sized(docs: DataFrame) -> DataFrame:
     return materialize(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
 
 
-def _solve(rows: DataFrame, weights: tuple[int, ...], max_rate: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Rates by source, and the documents whose copies move by one."""
+def _solve(rows: DataFrame, weights: tuple[int, ...], max_rate: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rates by source, cuts by source and class of size, and the documents whose copies move by one."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     rates = materialize(newton_rates(targets(sizes, weights, max_rate)), "rates")
+    cuts = materialize(_cuts(rows, rates, max_rate, seed), "cuts")
     rates = broadcast_if_small(rates.withColumnRenamed("source", "r_source"))
-    moves = materialize(_corrections(_tilted(rows, rates, max_rate, seed), max_rate, seed), "moves")
-    return rates, broadcast_if_small(moves)
+    cuts = broadcast_if_small(materialize(_finer(rows, cuts, max_rate, seed), "cuts"))
+    moves = materialize(_corrections(_tilted(rows, rates, cuts, max_rate, seed), max_rate, seed), "moves")
+    return rates, cuts, broadcast_if_small(moves)
+
+
+def _classed(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with hash and class of size; rows without words have no class."""
+    return rows.withColumn("hash", _hash("doc_id", "size", seed=seed)).withColumn(
+        "class", F.when(F.col("size") > 0, F.floor(F.log2("size")).cast("int"))
+    )
+
+
+def _cuts(rows: DataFrame, rates: DataFrame, max_rate: int, seed: int) -> DataFrame:
+    """(c_source, c_class, base, cut, gap): documents take ``base`` copies and, with a hash below ``cut``, one more.
+
+    A bin at the border of a class's share is in or out by chance, unless the shorter documents could then not
+    make up for it. ``gap`` is what the source's cuts leave of its target. At most 4,096 rows a class are listed.
+    """
+    bins = _classed(rows, seed).where("class is not null").groupBy(
+        "source", "class", F.shiftright("hash", HASH_BITS - BIN_BITS).alias("bin")
+    ).agg(F.sum("size").alias("words"))
+    up = W.partitionBy("source", "class").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = bins.withColumn("before", F.coalesce(F.sum("words").over(up), F.lit(0)))
+    classes = bins.groupBy("source", "class").agg(
+        F.sum("words").alias("all"), F.sort_array(F.collect_list(F.struct("bin", "before", "words"))).alias("bins")
+    ).withColumn("chance", _hash("source", "class", seed=seed) / float(1 << HASH_BITS))
+    lists = classes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("class", "all", "chance", "bins")), asc=False).alias("c"))
+    both = rates.alias("r").join(lists.alias("l"), F.col("r.source").eqNullSafe(F.col("l.source")))
+    start = F.struct(
+        F.col("target").alias("left"), F.col("source_size").cast("double").alias("size"),
+        F.array().cast("array<struct<c_class:int,base:bigint,cut:bigint>>").alias("cuts"),
+    )
+    most = float(max_rate)
+
+    def step(s: Column, c: Column) -> Column:
+        rate = F.greatest(F.lit(0.0), F.least(F.lit(most), s["left"] / s["size"]))
+
+        def divide(rate: Column) -> Column:
+            base = F.floor(rate)
+            share = (rate - base) * c["all"]
+            hit = F.filter(c["bins"], lambda b: (b["before"] <= share) & (share < b["before"] + b["words"]))
+            last = F.struct(F.lit(1 << BIN_BITS).cast("bigint").alias("bin"), c["all"].alias("before"), F.lit(0).cast("bigint").alias("words"))
+            return _let(F.coalesce(F.get(hit, F.lit(0)), last), lambda b: border(base, share, b))
+
+        def border(base: Column, share: Column, b: Column) -> Column:
+            out = s["left"] - base * c["all"] - b["before"]  # what is left of the target without the bin
+            short = F.greatest(F.lit(0.0), out - most * (s["size"] - c["all"]))
+            over = F.greatest(F.lit(0.0), b["words"] - out)
+            draw = c["chance"] * b["words"] < share - b["before"]
+            taken = (b["words"] > 0) & ((over < short) | ((over == short) & draw))
+            return F.struct(
+                (out - F.when(taken, b["words"]).otherwise(F.lit(0))).alias("left"), base.cast("bigint").alias("base"),
+                ((b["bin"] + taken.cast("bigint")) * F.lit(BIN)).cast("bigint").alias("cut"),
+            )
+
+        return _let(_let(rate, divide), lambda d: F.struct(
+            d["left"].alias("left"), (s["size"] - c["all"]).alias("size"),
+            F.concat(s["cuts"], F.array(F.struct(c["class"].alias("c_class"), d["base"].alias("base"), d["cut"].alias("cut")))).alias("cuts"),
+        ))
+
+    done = both.select(F.col("r.source").alias("c_source"), F.aggregate("c", start, step).alias("s"))
+    return done.select("c_source", F.col("s.left").alias("gap"), F.inline("s.cuts"))
+
+
+def _finer(rows: DataFrame, cuts: DataFrame, max_rate: int, seed: int) -> DataFrame:
+    """``cuts`` with one class's cut of each source moved inside its bin, as far as the source's gap goes."""
+    near = _classed(rows, seed).where("class is not null").join(
+        broadcast_if_small(cuts), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class"))
+    )
+    ahead = F.col("hash") - F.col("cut")
+    up = (F.col("gap") > 0) & (ahead >= 0) & (ahead < BIN) & (F.col("base") < max_rate)
+    down = (F.col("gap") < 0) & (ahead < 0) & (ahead >= -BIN)
+    away = W.partitionBy("c_source", "c_class").orderBy("far").rangeBetween(W.unboundedPreceding, 0)
+    near = near.where(up | down).withColumn("far", F.when(F.col("gap") > 0, ahead).otherwise(-ahead))
+    near = near.withColumn("run", F.sum("size").over(away)).where(F.col("run") <= F.abs("gap"))
+    best = near.groupBy("c_source", "c_class").agg(
+        F.max("run").alias("run"), F.max(F.when(F.col("gap") > 0, F.col("hash") + 1)).alias("hi"), F.min("hash").alias("lo")
+    ).groupBy(F.col("c_source").alias("b_source")).agg(
+        F.max_by(F.struct(F.col("c_class").alias("class"), F.coalesce("hi", "lo").alias("cut")), F.struct("run", "c_class")).alias("b")
+    )
+    on = F.col("c_source").eqNullSafe(F.col("b_source")) & (F.col("c_class") == F.col("b.class"))
+    return cuts.join(broadcast_if_small(best), on, "left").select("c_source", "c_class", "base", F.coalesce("b.cut", "cut").alias("cut"))
 
 
-def _tilted(rows: DataFrame, rates: DataFrame, max_rate: int, seed: int) -> DataFrame:
+def _tilted(rows: DataFrame, rates: DataFrame, cuts: DataFrame, max_rate: int, seed: int) -> DataFrame:
     """``rows`` (doc_id, source, size) with source_size, target, rate and the copies that the hash draws."""
-    out = rows.join(rates, F.col("source").eqNullSafe(F.col("r_source"))).drop("r_source")
-    base = F.floor("rate") + (_unit("doc_id", "size", seed=seed) < F.col("rate") - F.floor("rate")).cast("long")
-    return out.withColumn("copies", F.least(base, F.lit(max_rate)).cast("long"))
+    out = _classed(rows.join(rates, F.col("source").eqNullSafe(F.col("r_source"))).drop("r_source"), seed)
+    out = out.join(cuts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class")), "left")
+    base = F.coalesce("base", F.floor("rate"))  # rows without words are drawn by the rate itself
+    cut = F.coalesce(F.col("cut").cast("double"), (F.col("rate") - F.floor("rate")) * float(1 << HASH_BITS))
+    copies = F.least(base + (F.col("hash") < cut).cast("long"), F.lit(max_rate)).cast("long")
+    return out.withColumn("copies", copies).drop("hash", "class", "c_source", "c_class", "base", "cut")
 
 
-def _drawn(rows: DataFrame, rates: DataFrame, moves: DataFrame, max_rate: int, seed: int) -> DataFrame:
+def _drawn(rows: DataFrame, rates: DataFrame, cuts: DataFrame, moves: DataFrame, max_rate: int, seed: int) -> DataFrame:
     on = F.col("source").eqNullSafe(F.col("m_source")) & F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("size") == F.col("m_size"))
-    out = _tilted(rows, rates, max_rate, seed).join(moves, on, "left").drop("m_source", "m_id", "m_size")
+    out = _tilted(rows, rates, cuts, max_rate, seed).join(moves, on, "left").drop("m_source", "m_id", "m_size")
     return out.withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0))).drop("move")
 
 
@@ -118,7 +211,7 @@ def _corrections(drawn: DataFrame, max_rate: int, seed: int) -> DataFrame:
     """(m_source, m_id, m_size, move): copies to add or drop so that a source meets its target.
 
     Up to PER_CLASS documents of each source, direction and power-of-two class of size are candidates; in
-    descending size each is moved if that brings the sum nearer to the target.
+    descending size each is moved if that brings the sum nearer to the target. The cuts have left little to move.
     """
     gap = drawn.groupBy("source").agg(
         (F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"), F.first("rate").alias("rate")

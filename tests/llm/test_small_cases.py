@@ -221,6 +221,28 @@ def test_taken_words_come_near_their_target(spark):
     assert all(abs(r["t"] - r["g"]) <= 0.02 * r["g"] + 5 for r in got)
 
 
+@pytest.mark.parametrize("share, rate", [(0.1, 0.5), (1 / 3, 0.37), (1 / 3, 2.9), (0.6, 0.5)])
+def test_a_long_document_does_not_move_the_sum(spark, share, rate):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(100, 901, 5000).tolist()
+    own = [*sizes, int(sum(sizes) * share / (1 - share))]
+    rows = spark.createDataFrame([(i, "a", n) for i, n in enumerate(own)], "doc_id long, source string, size long")
+    solved = spark.createDataFrame([("a", sum(own), rate * sum(own), rate)], "source string, source_size long, target double, rate double")
+    rates = solved.withColumnRenamed("source", "r_source")
+    cuts = mixing._finer(rows, mixing._cuts(rows, solved, 3, 9), 3, 9)
+    moves = mixing._corrections(mixing._tilted(rows, rates, cuts, 3, 9), 3, 9)
+    got = mixing._drawn(rows, rates, cuts, moves, 3, 9).selectExpr("sum(copies * size)", "min(copies)", "max(copies)").first()
+    assert abs(got[0] - rate * sum(own)) <= 100 and 0 <= got[1] and got[2] <= 3
+
+
+def test_mix_with_a_long_document_in_each_source(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "w " * int(rng.integers(100, 901)), f"s{i % 3}") for i in range(3000)]
+    rows += [(5000 + i, "w " * 250_000, f"s{i}") for i in range(3)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
+    assert len(got) == 3 and all(abs(r["t"] - r["g"]) <= 100 for r in got)
+
+
 def test_hnsw(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 16))
