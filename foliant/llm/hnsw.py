@@ -227,6 +227,27 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _within(found, copies: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Link counts and components of a shard searched with its own rows; a link found from either end counts at both.
+
+    Links are kept as one bit a pair of rows and mirrored block by block.
+    """
+    n = len(copies)
+    have, counts = np.zeros((n, -(-n // 8)), np.uint8), np.zeros(n, np.int64)
+    for a, b in found:
+        rows, at = np.unique(a, return_inverse=True)
+        hit = np.zeros((len(rows), n), bool)
+        hit[at, b] = True
+        hit[np.arange(len(rows)), rows] = False
+        have[rows] |= np.packbits(hit, axis=1)
+        label = _merge(label, a, b)
+    for at in range(0, n, BLOCK):  # a multiple of 8
+        end = min(at + BLOCK, n)
+        back = np.unpackbits(have[:, at // 8 : -(-end // 8)], axis=1, count=end - at).T
+        counts[at:end] = (np.unpackbits(have[at:end], axis=1, count=n) | back) @ copies
+    return counts, label
+
+
 TASK_SCHEMA = "rep_id long, root_id long, links long"
 
 
@@ -241,13 +262,14 @@ def _task(threshold: float, recall: float):
         if len(first) and len(second):
             graph = Hnsw(x[first])
             ef = audited_beam(graph, x[first], x[second], EF, threshold, recall, key[2] == key[3])
-            for qs, rs in links(graph, x[first], x[second], ef, threshold):
+            pairs = links(graph, x[first], x[second], ef, threshold)
+            if key[2] == key[3]:
+                found, label = _within(pairs, copies, label)
+                pairs = ()
+            for qs, rs in pairs:
                 a, b = second[qs], first[rs]
-                other = a != b
-                a, b = a[other], b[other]
                 np.add.at(found, a, copies[b])
-                if key[2] != key[3]:
-                    np.add.at(found, b, copies[a])
+                np.add.at(found, b, copies[a])
                 label = _merge(label, a, b)
         ids = pdf["rep_id"].to_numpy()
         linked = (found > 0) | (label != np.arange(len(x)))

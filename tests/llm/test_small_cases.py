@@ -288,6 +288,30 @@ def test_audit_of_a_shard_with_itself():
     assert np.mean([len(np.intersect1d(a, b)) for a, b in zip(ids, near)]) >= 9.8
 
 
+def test_links_found_from_one_end_count_at_both(monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(100, 16)), 6, axis=0) + 0.02 * rng.normal(size=(600, 16))
+    pdf = pd.DataFrame({"rep_id": np.arange(600) + 7, "embedding": x.tolist(), "shard": 0, "copies": rng.integers(1, 4, 600)})
+    # a beam that is too narrow: each row finds a part of its links
+    one_way = np.zeros((600, 600), bool)
+
+    def narrow(graph, rows, q, ef, threshold):
+        ids, sims = graph.search(q, 3)
+        for at in range(0, len(q), 100):
+            a, c = np.nonzero(sims[at : at + 100] >= threshold)
+            one_way[a + at, ids[a + at, c]] = True
+            yield a + at, ids[a + at, c]
+
+    monkeypatch.setattr(hnsw, "links", narrow)
+    out = hnsw._task(0.98, 0.99)((1, 16, 0, 0), pdf).set_index("rep_id")
+    np.fill_diagonal(one_way, False)
+    assert (one_way & ~one_way.T).any()
+    want = (one_way | one_way.T) @ pdf["copies"].to_numpy()
+    assert dict(zip(pdf["rep_id"][want > 0], want[want > 0])) == out["links"].to_dict()
+
+
 def test_lean_slices_keep_every_row_in_order():
     import pyarrow as pa
 
