@@ -58,7 +58,7 @@ def _part(flat: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     n = len(h)
     grams = np.zeros(max(0, n - k + 1), _U)
     for i in range(k):
-        grams = mix(grams + h[i : n - k + 1 + i] * _U(0x9FB21C651E98DF25) + _U(i + 1))
+        grams = mix(grams + h[i : i + len(grams)] * _U(0x9FB21C651E98DF25) + _U(i + 1))
     sets = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         if b - a >= k:

@@ -113,6 +113,23 @@ def test_jaccard(docs, none):
     assert jaccard.keep_one(docs).columns == docs.columns
 
 
+def test_jaccard_of_short_texts_alone(spark):
+    import pyarrow as pa
+
+    for words in range(7):
+        (s,) = jaccard.shingle_sets(pa.array([" ".join("abcdef"[:words])]), 5)
+        assert len(s) == (0 if not words else max(1, words - 4))
+    long = "x " * (jaccard.SPAN // 2 + 10)
+    for texts in (["p q r", long], [long, "p q r"], ["p q r"]):
+        assert [len(s) for s in jaccard.shingle_sets(pa.array(texts), 5)] == [1] * len(texts)
+    rows = [(words, " ".join("abcdefg"[:words])) for words in range(7)] + [(7, "a b c"), (8, long)]
+    parts = spark.sparkContext.parallelize(rows, len(rows))  # one text a partition
+    found = jaccard.similarity_components(spark.createDataFrame(parts, "doc_id long, text string"), 5, 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == {
+        0: (0, 0), 1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 4), 5: (1, 5), 6: (2, 6), 7: (1, 3), 8: (1, 8)
+    }
+
+
 def test_sharding(docs, none):
     for shards in (1, 4, 16):
         rows = ring_sharding.assign_shards(docs, shards).collect()
