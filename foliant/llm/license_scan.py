@@ -90,7 +90,7 @@ OTHER = [
     "The commons were grazed by sheep.", "Version 3 of the timetable is out.", "Apache helicopters flew over the coast.",
     "The institute is in Massachusetts.", "It was a free concert and everybody came.", "The notice was nailed to the door.",
 ]
-#: A paragraph is looked at if it holds one of these; every template does.
+#: A paragraph is classified if it holds one of these, as every template does, or resembles a template anyway.
 ANCHORS = r"(?i)licen[sc]|copyright|permission|permitted|redistribut|public domain|rights reserved|proprietary|spdx-"
 UNKNOWN, FEATURES_WORDS = "unknown", r"[^a-z0-9]+"
 MIN_PROBABILITY, MIN_SIMILARITY, SEED = 0.5, 0.6, 8
@@ -169,9 +169,29 @@ def _features(words: Column) -> Column:
     return F.array_distinct(F.concat(words, F.filter(pairs, lambda p: p.isNotNull())))
 
 
+def _dice(features: Column, shape: Column) -> Column:
+    return F.size(F.array_intersect(features, shape)) * 2.0 / (F.size(features) + F.size(shape))
+
+
+def _resembles(key: Column) -> Column:
+    """Whether a line reaches the least similarity to any template; every confirmed line does.
+
+    Of n features at least s / (2 - s) * n are then a template's own, whatever the template's size: where fewer
+    are any template's, the templates are not compared.
+    """
+    shapes = [features_of(words_of(t)) for texts in TEMPLATES.values() for t in texts]
+    least = MIN_SIMILARITY - 1e-6  # the similarity is rounded to six places before it is judged
+    own, share = sorted(set().union(*shapes)), least / (2 - least)
+    words = F.split(key, " ")
+    few = F.size(F.array_distinct(words)) <= int(max(map(len, shapes)) / share)
+    known = F.size(F.filter(_features(words), lambda f: f.isin(own))) >= share * F.size(_features(words))
+    all_ = F.array(*(F.array(*map(F.lit, sorted(s))) for s in shapes))
+    return few & known & F.exists(all_, lambda s: _dice(_features(words), s) >= least)
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per paragraph that holds an anchor: doc_id, paragraph, family, probability, template,
-    similarity, confirmed.
+    """One row per paragraph that holds an anchor or resembles a template of any family: doc_id, paragraph,
+    family, probability, template, similarity, confirmed.
 
     ``paragraph`` is the line's number from 0. ``family`` is the likeliest class or ``unknown`` where its
     calibrated probability is under 0.5; ``confirmed`` is true where the line also resembles a template of
@@ -181,11 +201,12 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     weights, bias, heat = model()
+    key = F.trim(F.regexp_replace(F.lower("line"), FEATURES_WORDS, " "))
     lines = (
-        docs.where(F.col("text").rlike(ANCHORS))
-        .select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-        .where(F.col("line").rlike(ANCHORS))
-        .select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.trim(F.regexp_replace(F.lower("line"), FEATURES_WORDS, " ")).alias("key"))
+        docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+        .select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.col("line").rlike(ANCHORS).alias("anchor"), key.alias("key"))
+        .where(F.col("anchor") | _resembles(F.col("key")))
+        .drop("anchor")
     )
     lines = materialize(lines, "licence-lines")
     distinct = lines.select("key").distinct().withColumn("features", _features(F.split("key", " ")))
@@ -206,7 +227,7 @@ def scan(docs: DataFrame) -> DataFrame:
         for family, texts in TEMPLATES.items() for i, t in enumerate(texts)
     ]
     shapes = _values(spark, shapes, "family, template, shape")
-    both = F.size(F.array_intersect("features", "shape")) * 2.0 / (F.size("features") + F.size("shape"))
+    both = _dice(F.col("features"), F.col("shape"))
     near = scored.join(F.broadcast(shapes), "family").select("key", F.struct(both.alias("similarity"), "template").alias("m"))
     near = near.groupBy("key").agg(F.max("m").alias("m"))
     verdict = scored.join(near, "key", "left").select(

@@ -201,6 +201,13 @@ def test_licences(docs, none, spark):
     assert license_scan.scan(none).count() == 0 and license_scan.scan(docs).count() == 0
 
 
+def test_licences_without_an_anchor_word(spark):
+    lines = {"CC BY 4.0": "cc-by", "CC BY-NC 4.0": "cc-by-nc", "GNU GPL, version 2 or later.": "gpl"}
+    text = "\n".join([*lines, "It rained all day and we stayed in.", ""])
+    rows = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert {r["paragraph"]: (r["family"], r["confirmed"]) for r in rows} == {i: (f, True) for i, f in enumerate(lines.values())}
+
+
 def water(sizes, weights, cap):
     total, limit, full = sum(sizes), [cap * s for s in sizes], set()
     while True:
