@@ -165,11 +165,12 @@ class WaveletFile:
 
 
 @functools.cache
-def _cache(path: str) -> WordCache:
+def _cache(path: str) -> tuple[WordCache, object, list[str]]:
+    """Ids of pre-tokens, the tokenizer as its file sets it, and the added tokens, which it matches before it splits."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
     def words(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +178,15 @@ def _cache(path: str) -> WordCache:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths
 
-    return WordCache(words)
+    return WordCache(words), whole, [t.content for t in whole.get_added_tokens_decoder().values()]
+
+
+def _encoded(texts: list[str], tokenizer_path: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(index of text, its token ids); a text that holds an added token goes to the tokenizer whole."""
+    cache, whole, added = _cache(tokenizer_path)
+    special = {i for i, t in enumerate(texts) if any(a in t for a in added)}
+    for i, own in encode_texts(["" if i in special else t for i, t in enumerate(texts)], cache):
+        yield i, np.array(whole.encode(texts[i], add_special_tokens=False).ids, np.uint32) if i in special else own
 
 
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
@@ -185,7 +194,7 @@ MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
 
 def _writer(tokenizer_path: str, folder: str, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, task = _cache(tokenizer_path), TaskContext.get()
+        task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
@@ -203,7 +212,7 @@ def _writer(tokenizer_path: str, folder: str, shard_tokens: int):
 
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for i, own in encode_texts(batch.column("text").to_pylist(), cache):
+            for i, own in _encoded(batch.column("text").to_pylist(), tokenizer_path):
                 docs.append(doc_ids[i])
                 lengths.append(len(own) + 1)
                 ids.append(np.append(own, own.dtype.type(END_ID)))

@@ -167,6 +167,20 @@ def test_wavelet(spark, docs, none):
     assert wavelet.read_digests(wavelet.write_shards(none, JSON, fresh_path(spark, "w"))).count() == 0
 
 
+def test_wavelet_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(JSON)
+    texts = ["plain text", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext", "x<|endoftext|>\n\n y", "after"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in wavelet.read_digests(wavelet.write_shards(docs, JSON, fresh_path(spark, "w"))).collect()}
+    at = 0
+    for i, t in enumerate(texts):
+        ids = [*tk.encode(t, add_special_tokens=False).ids, 2]
+        assert (rows[i]["start"], rows[i]["n_tokens"], rows[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 70_000])
 def test_wavelet_queries(n):
     ids = (np.random.default_rng(n).zipf(1.4, n) % 50_257).astype(np.uint16)
