@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_dir: str | None = None
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none, as in tests on one machine, a temporary folder is made once.
+    Where the session names none, a temporary folder of this machine is made once, under a local master
+    only, as in tests; anywhere else the setting is required.
     """
     global _local_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -39,21 +41,57 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     Cuts the lineage with a table that survives lost executors, and keeps the columns compressed
-    (``checkpoint()`` would write uncompressed rows).
+    (``checkpoint()`` would write uncompressed rows). The table stays until :func:`drop_tables`.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a path written by :func:`materialize`, through the file system that owns it."""
+    """Delete a path, through the file system that owns it."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def mark() -> int:
+    """A point in the list of tables that :func:`materialize` has written in this process."""
+    return len(_written)
+
+
+def drop_tables(spark: SparkSession, since: int = 0) -> None:
+    """Delete what :func:`materialize` has written since ``mark()`` gave ``since``.
+
+    Call it when the results that read those tables have been written or collected.
+    """
+    while len(_written) > since:
+        drop_path(spark, _written.pop())
+
+
+class Scratch:
+    """Tables in the shared folder that a computation drops itself as soon as nothing reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """:func:`materialize`, remembered."""
+        table = materialize(df, name)
+        self._paths[id(table)] = (table, _written[-1])
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables, or all that were kept; no DataFrame still to be evaluated may read them."""
+        for key in [id(t) for t in tables] or list(self._paths):
+            _, path = self._paths.pop(key)
+            _written.remove(path)
+            drop_path(self.spark, path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """Hint a broadcast only when a count proves that ``df`` has at most ``max_rows`` rows."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
