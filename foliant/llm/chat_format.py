@@ -8,10 +8,10 @@ In texts, a backslash becomes ``\\b`` and ``<`` becomes ``\\l``, so no marker ca
 two replacements in the other order undo it; roles also get ``|`` as ``\\p``.
 
 Every assistant turn is exploded into its own example: the prompt is the stream up to that reply, the
-reply is the only trainable span. An example is a row that refers to its prompt by the stream's
+reply is the only trainable span. An example is a row of its own that refers to its context by the stream's
 offsets, as all examples of a conversation share prefixes: the output is linear in the input also where
 one conversation holds a third of all rows, and :func:`expand` writes the literal prompts and replies
-of whichever examples a trainer asks for.
+of whichever examples a trainer asks for. What is reported of losses is read back from the example rows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.runtime import materialize
+
 #: turns whose numbers share this quotient get their offsets in one task
 BLOCK_TURNS = 1024
 END = "<|end|>\n"
@@ -84,13 +86,33 @@ def segments(turns: DataFrame, target_role: str = "assistant") -> DataFrame:
 
 
 def examples(formatted: DataFrame) -> DataFrame:
-    """One row per assistant turn: its prompt is the stream up to loss_start, its reply the loss span."""
+    """One row per assistant turn: conv_id, place, context_turns, context_chars, loss_start, loss_end, example_chars.
+
+    The example is the stream's first ``example_chars`` code points: all ``context_turns`` preceding turns, then
+    the reply's segment, of which [loss_start, loss_end) alone is trainable.
+    """
     return formatted.where("is_target").select(
-        "conv_id", "place", F.col("loss_start").alias("prompt_chars"), "loss_start", "loss_end",
+        "conv_id", "place", F.col("place").alias("context_turns"), F.col("seg_start").alias("context_chars"), "loss_start", "loss_end",
         F.col("seg_end").alias("example_chars"),
     )
 
 
+def read_examples(formatted: DataFrame, made: DataFrame) -> DataFrame:
+    """Examples read back from the stream: conv_id, place, loss_text (unescaped), example_chars, whole.
+
+    An example's last segment is cut by the example's own offsets. ``whole`` is true where the prompt ends with
+    the reply's head and the example with the end of a turn.
+    """
+    at = formatted.select(F.col("conv_id").alias("s_conv"), F.col("place").alias("s_place"), "segment")
+    on = F.col("conv_id").eqNullSafe(F.col("s_conv")) & (F.col("context_turns") == F.col("s_place"))
+    head, size = (F.col("loss_start") - F.col("context_chars")).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")
+    rest = F.substring(F.col("segment"), head + size + 1, (F.col("example_chars") - F.col("loss_end")).cast("int"))
+    return made.join(at, on).select(
+        "conv_id", "place", unescape(F.substring(F.col("segment"), head + 1, size)).alias("loss_text"), "example_chars",
+        (F.substring(F.col("segment"), head - 2, F.lit(3)).eqNullSafe(F.lit("|>\n")) & (rest == END)).alias("whole"),
+    )
+
+
 def expand(formatted: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Literal ``(conv_id, place, prompt, reply)`` of the wanted examples (all, if none are named).
 
@@ -113,40 +135,37 @@ def expand(formatted: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
 
 
 def parse(formatted: DataFrame) -> DataFrame:
-    """Read segments back: conv_id, place, role, text, and loss_text (what the mask covers, unescaped)."""
+    """Turns read back from the segments: conv_id, place, role, text, chars."""
     at = F.instr("segment", "|>\n")
     size = F.length("segment")
-    span = F.substring(
-        F.col("segment"), (F.col("loss_start") - F.col("seg_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")
-    )
     return formatted.select(
-        "conv_id", "place", "seg_start", "seg_end", "is_target",
+        "conv_id", "place", size.cast("long").alias("chars"),
         _unescape_role(F.substring(F.col("segment"), F.lit(3), at - 3)).alias("role"),
         unescape(F.substring(F.col("segment"), at + 3, size - at - 2 - len(END))).alias("text"),
-        unescape(span).alias("loss_text"),
     )
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """Digests per conversation, read back from the segments.
+def digests(formatted: DataFrame, made: DataFrame) -> DataFrame:
+    """Digests per conversation: turns read back from the stream, losses from the examples ``made`` of it.
 
     A SHA-256 of a whole conversation needs its turns in order in one place: this report, and only it,
     gathers a conversation into one row.
     """
-    read = parse(formatted)
-    turns = F.sort_array(F.collect_list(F.struct("place", "role", "text")))
-    loss = F.sort_array(F.collect_list(F.when(F.col("is_target"), F.struct("place", F.col("loss_text").alias("text")))))
-    rows = read.groupBy("conv_id").agg(
-        turns.alias("turns"), loss.alias("loss"), F.sum(F.col("seg_end") - F.col("seg_start")).alias("formatted_chars"),
-        F.count_if("is_target").alias("n_examples"),
-        F.coalesce(F.sum(F.when(F.col("is_target"), F.col("seg_end"))), F.lit(0)).alias("expanded_chars"),
+    turns = parse(formatted).groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"), F.sum("chars").alias("formatted_chars")
+    )
+    losses = read_examples(formatted, made).groupBy(F.col("conv_id").alias("l_conv")).agg(
+        F.sort_array(F.collect_list(F.struct("place", F.col("loss_text").alias("text")))).alias("loss"), F.count("*").alias("n"),
+        F.sum("example_chars").alias("chars"), F.count_if("whole").alias("n_whole"),
     )
+    rows = turns.join(losses, F.col("conv_id").eqNullSafe(F.col("l_conv")), "left")
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    loss_text = F.array_join(F.col("loss.text"), "")
+    loss_text = F.coalesce(F.array_join(F.col("loss.text"), ""), F.lit(""))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return rows.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
         F.length(loss_text).cast("long").alias("loss_chars"), F.sha2(loss_text, 256).alias("loss_sha256"),
-        "formatted_chars", "n_examples", "expanded_chars",
+        "formatted_chars", count("n").alias("n_examples"), count("chars").alias("expanded_chars"), count("n_whole").alias("n_whole"),
     )
 
 
@@ -157,7 +176,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"),
         F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.lit(control).alias("text"),
     )
-    return digests(segments(turns.unionByName(extra)))
+    formatted = materialize(segments(turns.unionByName(extra)), "chat-stream")
+    return digests(formatted, materialize(examples(formatted), "chat-examples"))
 
 
 _ESCAPED = r"replace(replace(text, '\', '\b'), '<', '\l')"
@@ -172,7 +192,7 @@ WITH t AS (
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(chars) AS BIGINT) AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples, n_examples AS n_whole,
        CAST(coalesce(sum(seg_end) FILTER (role = 'assistant'), 0) AS BIGINT) AS expanded_chars
 FROM g GROUP BY conv_id
 """

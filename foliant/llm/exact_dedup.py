@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.llm.memory import lean
+from foliant.llm.sieve import without
 from foliant.runtime import materialize
 
 MIN_CHUNK, CHUNK_BITS, MAX_CHUNK, WINDOW = 256, 10, 16_384, 32
@@ -185,22 +186,23 @@ def _with_ordinals(docs, recipes, chunks, shared, digest) -> DataFrame:
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that :func:`dedup_groups` drops, all columns kept.
 
-    Of rows that repeat both id and text one stays.
+    Of rows that repeat both id and text one stays. Null texts count as empty, so one of all null and empty
+    texts stays; columns may have any names. Only texts that a sieve of the rows to drop cannot clear are shuffled.
     """
-    verdict = materialize(dedup_groups(docs).select("doc_id", "text_sha256", "kept"), "verdict")
-    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    gone = verdict.where("not kept").select(F.col("doc_id").alias("g_id"), F.col("text_sha256").alias("g_sha")).distinct()
-    again = (
-        verdict.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1")
-        .select(F.col("doc_id").alias("g_id"), F.col("text_sha256").alias("g_sha"))
-    )
+    verdict = materialize(dedup_groups(docs).select("doc_id", F.unhex("text_sha256").alias("sha"), "kept"), "verdict")
+    gone = verdict.where("not kept").select("doc_id", "sha").distinct()
+    again = verdict.where("kept").groupBy("doc_id", "sha").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "sha")
     again = materialize(again, "again")
     repeated = not again.isEmpty()
-    out = gone.union(again) if repeated else gone
-    among = lambda t: docs["doc_id"].eqNullSafe(t["g_id"]) & (sha == t["g_sha"])
-    kept = docs.join(out, among(out), "left_anti")
+    out = materialize((gone.union(again) if repeated else gone).withColumn("h", F.xxhash64("doc_id", "sha")), "gone")
+    sha = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
+    text_sha = lambda r: F.unhex(F.sha2(F.coalesce(r["text"], F.lit("")), 256))
+    same = lambda r, g: r["doc_id"].eqNullSafe(g("doc_id")) & (text_sha(r) == g("sha"))
+    kept = without(docs, F.xxhash64(docs["doc_id"].cast("long"), sha), out, out.count(), same)
     if repeated:
-        kept = kept.unionByName(docs.join(again, among(again), "left_semi").dropDuplicates(["doc_id", "text"]))
+        more = again.select(F.col("doc_id").alias("g_id"), F.col("sha").alias("g_sha"))
+        among = docs["doc_id"].eqNullSafe(more["g_id"]) & (sha == more["g_sha"])
+        kept = kept.unionByName(docs.join(more, among, "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept
 
 

@@ -1,32 +1,45 @@
 """Embedding near-dedup with one hierarchical navigable small-world graph per shard.
 
-Vectors of one label and dimension are dealt to shards of bounded size. Each task holds two shards (or one):
-it builds the graph of the first by inserting blocks of vectors, and queries it with every vector of
-the second, so that every vector meets every shard of its label exactly once. Beams are widened until an
-audit of the shard, a fixed sample of queries compared with brute force, reaches the asked recall, and
-for a single query as long as its whole beam still lies above the threshold. Candidates are verified by
-cosine in double precision. A task reports link counts and a spanning forest of what it linked, never the
-pairs themselves; the forests are united by connected components.
+Vectors of one label and dimension are dealt to shards of bounded size. A shard's graph is built once, by
+inserting blocks of vectors; the search that inserts a vector is also its query against the shard, and finds
+it every neighbour that came before. Where a label has several shards, graphs and vectors are stored in the
+shared folder, and every other shard's vectors query each stored graph. Beams are widened until an audit of
+the shard, a fixed sample of queries compared with brute force, reaches the asked recall, and for a single
+query as long as its whole beam still lies above the threshold. Candidates are verified by cosine in double
+precision. A task reports link counts and a spanning forest of what it linked, never the pairs themselves;
+the forests are united by connected components.
 """
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.graph import connected_components
-from foliant.runtime import broadcast_if_small, materialize
+from foliant.llm.graph import connected_components, merged_labels
+from foliant.runtime import Scratch, broadcast_if_small, fresh_path, materialize
 
-THRESHOLD, SHARD_ROWS, M, EF, BLOCK, AUDIT, NEAREST, RECALL = 0.98, 8192, 16, 48, 256, 128, 10, 0.99
+THRESHOLD, SHARD_ROWS, M, EF, BLOCK, AUDIT, NEAREST, RECALL = 0.98, 8192, 20, 96, 256, 128, 10, 0.99
+#: what single precision may be off
+SLACK = 1e-5
 
 
 class Hnsw:
-    """Graph over the unit rows of a matrix; build and search handle blocks of rows at once."""
+    """Graph over the unit rows of a matrix; build and search handle blocks of rows at once.
+
+    With ``watch`` a row's own search, as it is inserted, is also its query against the rows before it: ``met``
+    lists the pairs of at least that similarity, ``full`` the rows whose whole beam reached it.
+    """
 
-    def __init__(self, rows: np.ndarray, m: int = M, ef: int = EF, seed: int = 10):
-        self.rows, self.m = rows.astype(np.float32), m
+    def __init__(self, rows: np.ndarray, m: int = M, ef: int = EF, seed: int = 10, watch: float | None = None):
+        self.rows, self.m, self.watch = rows.astype(np.float32), m, watch
+        self.met, self.full = [], np.zeros(len(rows), bool)
         n = len(rows)
         draw = np.random.default_rng(seed).random(n)
         self.level = np.minimum((-np.log(np.maximum(draw, 1e-12)) / np.log(m)).astype(int), 8)
@@ -50,6 +63,13 @@ class Hnsw:
             if not first:
                 found, sims = self._beam(q, entry, k, ef if k <= self.level[block].max() else 1)
                 entry = found[:, :1]
+            if k == 0 and self.watch is not None:
+                a, b = np.nonzero(np.triu(near >= self.watch))
+                self.met.append((block[a], block[b]))
+                if not first:
+                    a, c = np.nonzero(sims >= self.watch)
+                    self.met.append((block[a], found[a, c]))
+                    self.full[block] = sims[:, -1] >= self.watch
             here = np.flatnonzero(self.level[block] >= k)
             if not len(here):
                 continue
@@ -152,6 +172,22 @@ class Hnsw:
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         return np.where(ids == n, -1, ids), sims
 
+    def dump(self) -> bytes:
+        """The graph as bytes, for :meth:`load`; without the rows, which are given again."""
+        out = io.BytesIO()
+        np.savez(out, entry=self.entry, **{f"links{k}": t for k, t in enumerate(self.links)})
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes, rows: np.ndarray) -> Hnsw:
+        """A graph that can be searched."""
+        graph = cls.__new__(cls)
+        with np.load(io.BytesIO(data)) as z:
+            graph.rows, graph.entry = rows.astype(np.float32), int(z["entry"])
+            graph.links = [z[f"links{k}"] for k in range(len(z.files) - 1)]
+        graph.top = len(graph.links) - 1
+        return graph
+
     def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """Down the levels with a narrow beam, then ``ef`` wide on level 0."""
         q = q.astype(np.float32)
@@ -161,39 +197,48 @@ class Hnsw:
         return self._beam(q, entry, 0, min(ef, len(self.rows)))
 
 
-def links(graph: Hnsw, rows: np.ndarray, q: np.ndarray, ef: int, threshold: float):
+def _verified(found, q: np.ndarray, rows: np.ndarray, threshold: float):
+    for a, b in found:
+        for at in range(0, len(a), 1 << 16):
+            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            true = np.einsum("ad,ad->a", q[x], rows[y]) >= threshold
+            yield x[true], y[true]
+
+
+def links(graph: Hnsw, rows: np.ndarray, q: np.ndarray, ef: int, threshold: float, scanned: list[int] | None = None):
     """Yields (query numbers, row numbers) of links, block by block, verified in double precision.
 
     The graph keeps single precision; what it finds a little below the threshold is verified too. A query
     whose whole beam lies above the threshold is searched again with four times the beam. A beam of a
     thirty-second of the shard touches as many links as the shard has vectors: from there on the query
-    scans the shard, which is exact.
+    scans the shard, which is exact; ``scanned`` counts these queries.
     """
-    n, near = len(rows), threshold - 1e-5
+    n, near = len(rows), threshold - SLACK
     for at in range(0, len(q), BLOCK):
         todo, width = np.arange(at, min(at + BLOCK, len(q))), ef
         while len(todo):
             if width * 32 >= n and width > ef or width >= n:
                 a, b = np.nonzero(q[todo] @ rows.T >= threshold)
                 yield todo[a], b
+                if scanned is not None:
+                    scanned.append(len(todo))
                 break
             ids, sims = graph.search(q[todo], width)
             more = sims[:, -1] >= near
             a, c = np.nonzero((sims >= near) & (ids >= 0) & ~more[:, None])
-            a, b = todo[a], ids[a, c]
-            true = np.einsum("ad,ad->a", q[a], rows[b]) >= threshold
-            yield a[true], b[true]
+            yield from _verified([(todo[a], ids[a, c])], q, rows, threshold)
             todo, width = todo[more], 4 * width
 
 
 def audited_beam(
     graph: Hnsw, rows: np.ndarray, q: np.ndarray, ef: int, threshold: float, recall: float, same: bool = False, seed: int = 11
-) -> int:
+) -> tuple[int, int, int]:
     """The least doubling of ``ef`` at which sampled queries find the asked share of what brute force finds.
 
-    What is audited are the sample's links and, as links are rare, its NEAREST nearest neighbours. Where the
-    queries are the rows themselves (``same``), a query's own row is neither. Where the next beam would be a
-    thirty-second of the shard, the answer is the shard: its queries scan it, which is exact.
+    Also how many they found then, of how many. What is audited are the sample's links and, as links are rare,
+    its NEAREST nearest neighbours. Where the queries are the rows themselves (``same``), a query's own row is
+    neither. Where the next beam would be a thirty-second of the shard, the answer is the shard: its queries
+    scan it, which is exact.
     """
     n = len(rows)
     pick = np.random.default_rng(seed).permutation(len(q))[:AUDIT]
@@ -207,73 +252,124 @@ def audited_beam(
         ids, _ = graph.search(q[pick], ef)
         got = np.zeros((len(pick), n + 1), bool)
         np.put_along_axis(got, np.where(ids < 0, n, ids), True, 1)
-        wanted = np.minimum(true.sum(1), ef - same).sum()
-        if (got[:, :n] & true).sum() >= recall * wanted:
-            break
+        wanted, hit = int(np.minimum(true.sum(1), ef - same).sum()), int((got[:, :n] & true).sum())
+        if hit >= recall * wanted:
+            return ef, min(hit, wanted), wanted
         ef = 2 * ef if 64 * ef < n else n
-    return ef
-
-
-def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest-label components after adding edges a-b."""
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        while (label[label] != label).any():
-            label = label[label]
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
-    return label
-
-
-def _within(found, copies: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Link counts and components of a shard searched with its own rows; a link found from either end counts at both.
+    return n, int(true.sum()), int(true.sum())
+
+
+class _Within:
+    """Links among the rows of one shard, one bit a pair; a link found from either end counts at both."""
+
+    def __init__(self, n: int):
+        self.have, self.label = np.zeros((n, -(-n // 8)), np.uint8), np.arange(n)
+
+    def add(self, found) -> None:
+        n = len(self.have)
+        for a, b in found:
+            rows, at = np.unique(a, return_inverse=True)
+            hit = np.zeros((len(rows), n), bool)
+            hit[at, b] = True
+            hit[np.arange(len(rows)), rows] = False
+            self.have[rows] |= np.packbits(hit, axis=1)
+            self.label = merged_labels(self.label, a, b)
+
+    def _rows(self, at: int, end: int) -> np.ndarray:
+        """Links of the rows from at, a multiple of 8, to end, from either side."""
+        n = len(self.have)
+        back = np.unpackbits(self.have[:, at // 8 : -(-end // 8)], axis=1, count=end - at).T
+        return np.unpackbits(self.have[at:end], axis=1, count=n) | back
+
+    def counts(self, copies: np.ndarray) -> np.ndarray:
+        """For each row the number of vectors it links with."""
+        n = len(copies)
+        return np.concatenate([self._rows(at, min(at + BLOCK, n)) @ copies for at in range(0, n, BLOCK)])
+
+    def missed(self, rows: np.ndarray, threshold: float, recall: float, seed: int = 12) -> bool:
+        """Whether too many links of a sample of whole blocks of 8 rows are not there."""
+        n, true, got = len(rows), 0, 0
+        for at in np.random.default_rng(seed).permutation(-(-n // 8))[: AUDIT // 8] * 8:
+            end = min(at + 8, n)
+            exact = rows[at:end] @ rows.T >= threshold
+            exact[np.arange(end - at), np.arange(at, end)] = False
+            true += int(exact.sum())
+            got += int((exact & self._rows(at, end).astype(bool)).sum())
+        return got < recall * true
+
+
+def shard_links(rows: np.ndarray, threshold: float, recall: float) -> tuple[Hnsw, _Within, tuple[int, int, int, int]]:
+    """Graph and links of one shard, and its audit: found, wanted, beam, rows that scanned the shard."""
+    graph, within, scanned = Hnsw(rows, watch=threshold - SLACK), _Within(len(rows)), []
+    ef, hit, wanted = audited_beam(graph, rows, rows, EF, threshold, recall, True)
+    if ef == EF:
+        within.add(_verified(graph.met, rows, rows, threshold))
+        full = np.flatnonzero(graph.full)
+        within.add((full[a], b) for a, b in links(graph, rows, rows[full], 4 * EF, threshold, scanned))
+        if within.missed(rows, threshold, recall):
+            ef = 2 * EF
+    if ef > EF:
+        within.add(links(graph, rows, rows, ef, threshold, scanned))
+    graph.met = []
+    return graph, within, (hit, wanted, ef, sum(scanned))
+
+
+TASK_SCHEMA = "cid long, root long, links long, found long, wanted long, beam long, scanned long, queries long, path string"
+
+
+def _answers(ids: np.ndarray, label: np.ndarray, counts: np.ndarray, audit: tuple, queries: int, path: str | None) -> pd.DataFrame:
+    """Rows with links, and one row (without cid) of the audit."""
+    linked = (counts > 0) | (label != np.arange(len(ids)))
+    rows = pd.DataFrame({"cid": ids[linked], "root": ids[label[linked]], "links": counts[linked]})
+    one = pd.DataFrame([(*audit, queries, path)], columns=["found", "wanted", "beam", "scanned", "queries", "path"])
+    out = pd.concat([rows, one], ignore_index=True).reindex(columns=[c.split()[0] for c in TASK_SCHEMA.split(", ")])
+    return out.astype({c: "Int64" for c in out.columns if c != "path"})
+
+
+def unit(rows: list) -> np.ndarray:
+    """Unit rows; scaled by the largest component first, so that no norm of finite numbers overflows."""
+    x = np.array(rows, np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _build(threshold: float, recall: float, folder: str):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cid", kind="stable")
+        x, ids, copies = unit(pdf["embedding"].tolist()), pdf["cid"].to_numpy(), pdf["copies"].to_numpy()
+        graph, within, audit = shard_links(x, threshold, recall)
+        path = None
+        if pdf["n_shards"].iloc[0] > 1:
+            # a name of this attempt: what a lost attempt has left is named by no row
+            task = TaskContext.get()
+            path = f"{folder}/{task.partitionId()}-{task.taskAttemptId()}-{key[2]}-{int(ids[0])}.npz"
+            fs, base = pafs.FileSystem.from_uri(path)
+            fs.create_dir(base.rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(base) as f:
+                np.savez(f, x=x, ids=ids, copies=copies, graph=np.frombuffer(graph.dump(), np.uint8))
+        return _answers(ids, within.label, within.counts(copies), audit, len(ids), path).assign(label=key[0], dim=key[1], shard=key[2])
 
-    Links are kept as one bit a pair of rows and mirrored block by block.
-    """
-    n = len(copies)
-    have, counts = np.zeros((n, -(-n // 8)), np.uint8), np.zeros(n, np.int64)
-    for a, b in found:
-        rows, at = np.unique(a, return_inverse=True)
-        hit = np.zeros((len(rows), n), bool)
-        hit[at, b] = True
-        hit[np.arange(len(rows)), rows] = False
-        have[rows] |= np.packbits(hit, axis=1)
-        label = _merge(label, a, b)
-    for at in range(0, n, BLOCK):  # a multiple of 8
-        end = min(at + BLOCK, n)
-        back = np.unpackbits(have[:, at // 8 : -(-end // 8)], axis=1, count=end - at).T
-        counts[at:end] = (np.unpackbits(have[at:end], axis=1, count=n) | back) @ copies
-    return counts, label
+    return run
 
 
-TASK_SCHEMA = "rep_id long, root_id long, links long"
+def _stored(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, Hnsw]:
+    fs, base = pafs.FileSystem.from_uri(path)
+    with fs.open_input_file(base) as f, np.load(io.BytesIO(f.read())) as z:
+        return z["x"], z["ids"], z["copies"], Hnsw.load(z["graph"].tobytes(), z["x"])
 
 
-def _task(threshold: float, recall: float):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep_id", kind="stable").reset_index(drop=True)
-        x = np.array(pdf["embedding"].tolist(), np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        first, second = np.flatnonzero(pdf["shard"] == key[2]), np.flatnonzero(pdf["shard"] == key[3])
-        copies = pdf["copies"].to_numpy()
-        found, label = np.zeros(len(x), np.int64), np.arange(len(x))
-        if len(first) and len(second):
-            graph = Hnsw(x[first])
-            ef = audited_beam(graph, x[first], x[second], EF, threshold, recall, key[2] == key[3])
-            pairs = links(graph, x[first], x[second], ef, threshold)
-            if key[2] == key[3]:
-                found, label = _within(pairs, copies, label)
-                pairs = ()
-            for qs, rs in pairs:
-                a, b = second[qs], first[rs]
-                np.add.at(found, a, copies[b])
-                np.add.at(found, b, copies[a])
-                label = _merge(label, a, b)
-        ids = pdf["rep_id"].to_numpy()
-        linked = (found > 0) | (label != np.arange(len(x)))
-        return pd.DataFrame({"rep_id": ids, "root_id": ids[label], "links": found})[linked]
+def _query(threshold: float, recall: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, asks in zip(pdf["path"], pdf["asks"]):
+                (rows, ids, copies, graph), (q, q_ids, q_copies, _) = _stored(path), _stored(asks)
+                ef, hit, wanted = audited_beam(graph, rows, q, EF, threshold, recall)
+                found, label, scanned, n = np.zeros(len(rows) + len(q), np.int64), np.arange(len(rows) + len(q)), [], len(rows)
+                for a, b in links(graph, rows, q, ef, threshold, scanned):
+                    np.add.at(found, a + n, copies[b])
+                    np.add.at(found, b, q_copies[a])
+                    label = merged_labels(label, a + n, b)
+                yield _answers(np.concatenate([ids, q_ids]), label, found, (hit, wanted, ef, sum(scanned)), len(q), path)
 
     return run
 
@@ -281,15 +377,20 @@ def _task(threshold: float, recall: float):
 def near_duplicates(
     vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, recall: float = RECALL
 ) -> DataFrame:
-    """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
+    """One row per row of ``vectors``: vec_id, n_links, component_id, kept, recall, scanned.
 
     Vectors are compared when their labels are equal and not null and they have the same number of
     components. Vectors that are null, empty or zero, hold null or non-finite components, or have no id,
     link with nothing: n_links 0, component_id their own id, kept (not kept where the id is null).
-    Equal vectors form one class that is searched once; rows that repeat an id count as links of each
-    other. Every vector meets every shard of its label, so work grows with rows times shards of a label.
-    An empty table gives an empty table. Other columns are not read.
+    Equal vectors form one class that is searched once; a cosine equal to the threshold links. Rows that repeat
+    an id are vectors of their own, so they count as links of each other where they are alike, and differ in
+    their components where they are not. Every vector meets every shard of its label, so work grows with rows
+    times shards of a label. ``recall`` is what the audits of the vector's label and dimension found of what
+    brute force found, ``scanned`` the share of their queries that scanned a shard; both null for vectors that
+    are not compared. An empty table gives an empty table. Other columns are not read.
     """
+    spark = vectors.sparkSession
+    scratch = Scratch(spark)
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding")
     )
@@ -298,29 +399,48 @@ def near_duplicates(
     rows = rows.withColumn("able", F.coalesce(able, F.lit(False)))
     classes = rows.where("able").groupBy("label", "embedding").agg(
         F.min("vec_id").alias("rep_id"), F.count("*").alias("copies")
-    ).withColumn("dim", F.size("embedding"))
-    classes = materialize(classes, "vectors")
+    ).withColumns({"dim": F.size("embedding"), "cid": F.monotonically_increasing_id()})
+    classes = materialize(classes, "vectors")  # written before it is read: the numbers hold
     shards = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(float(shard_rows))).cast("int").alias("n_shards"))
     dealt = classes.join(broadcast_if_small(shards), ["label", "dim"]).withColumn(
-        "shard", F.pmod(F.xxhash64("rep_id"), F.col("n_shards")).cast("int")
+        "shard", F.pmod(F.xxhash64("embedding"), F.col("n_shards")).cast("int")
     )
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_shards") - 1)))
-    met = met.select(
-        "label", "dim", F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j"), "shard", "rep_id", "copies", "embedding"
+    kind = dict(classes.dtypes)["label"]
+    built = dealt.select("label", "dim", "shard", "n_shards", "cid", "copies", "embedding").groupBy("label", "dim", "shard").applyInPandas(
+        _build(threshold, recall, fresh_path(spark, "graphs")), f"{TASK_SCHEMA}, label {kind}, dim int, shard int"
     )
-    found = materialize(met.groupBy("label", "dim", "i", "j").applyInPandas(_task(threshold, recall), TASK_SCHEMA), "links")
-    counts = found.groupBy("rep_id").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.where("rep_id <> root_id"), "rep_id", "root_id")
-    solved = classes.join(counts, "rep_id", "left").join(parts.withColumnRenamed("node", "rep_id"), "rep_id", "left").select(
-        F.col("label").alias("c_label"), F.col("embedding").alias("c_embedding"), "rep_id",
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component_id", "rep_id").alias("component_id"),
+    built = scratch.keep(built, "built")
+    found, audits = built.drop("shard"), built.where("cid is null")
+    graphs = built.where("path is not null").select("label", "dim", "shard", "path")
+    n_tasks = graphs.count()
+    if n_tasks:
+        asks = graphs.select("label", "dim", F.col("shard").alias("a_shard"), F.col("path").alias("asks"))
+        pairs = graphs.join(asks, ["label", "dim"]).where("a_shard > shard")
+        pairs = pairs.repartition(max(1, min(n_tasks * n_tasks, 20_000)), "path", "asks").select("label", "dim", "path", "asks")
+        across = pairs.select("path", "asks").mapInPandas(_query(threshold, recall), TASK_SCHEMA)
+        across = scratch.keep(across, "across")
+        found = found.drop("label", "dim").unionByName(across)
+        audits = audits.unionByName(across.where("cid is null").join(graphs, "path"))
+    counts = found.where("cid is not null").groupBy("cid").agg(F.sum("links").alias("links"))
+    parts = connected_components(found.where("cid <> root"), "cid", "root")
+    named = classes.select("label", "embedding", "dim", "copies", "rep_id", "cid").join(counts, "cid", "left").join(parts, F.col("cid") == F.col("node"), "left")
+    named = scratch.keep(named.withColumn("comp", F.coalesce("component_id", "cid")).drop("node", "component_id"), "named")
+    least = scratch.keep(named.groupBy("comp").agg(F.min("rep_id").alias("least")), "least")
+    audits = audits.groupBy(F.col("label").alias("a_label"), F.col("dim").alias("a_dim")).agg(
+        (F.sum("found") / F.greatest(F.sum("wanted"), F.lit(1))).alias("r"), F.sum("wanted").alias("w"), (F.sum("scanned") / F.sum("queries")).alias("scanned")
     )
+    audits = audits.withColumn("recall", F.when(F.col("w") > 0, F.col("r")).otherwise(1.0)).drop("r", "w")
+    solved = named.join(least, "comp").join(broadcast_if_small(audits), (F.col("label") == F.col("a_label")) & (F.col("dim") == F.col("a_dim")))
+    solved = materialize(solved.select(
+        F.col("label").alias("c_label"), F.col("embedding").alias("c_embedding"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        "least", "recall", "scanned",
+    ), "solved")
+    scratch.drop()
     on = F.col("able") & (F.col("label") == F.col("c_label")) & (F.col("embedding") == F.col("c_embedding"))
-    component = F.coalesce("component_id", "vec_id")
+    component = F.coalesce("least", "vec_id")
     return rows.join(solved, on, "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
+        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), "recall", "scanned",
     )
 
 

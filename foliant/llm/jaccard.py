@@ -33,15 +33,16 @@ from pyspark.sql import functions as F
 
 from foliant.llm.graph import connected_components
 from foliant.llm.memory import lean
+from foliant.llm.sieve import sift, without
 from foliant.llm.spans import mix, span_hashes
-from foliant.runtime import Scratch, broadcast_if_small, materialize
+from foliant.runtime import Scratch, materialize
 
 SHINGLE_WORDS, PERCENT, SLICE, LEADER_ROUNDS, SPAN = 3, 90, 1 << 14, 2, 1 << 19
 #: shingles of the corpus to a frequency cell; cells are a power of two within these bounds (8 bytes each)
 CELL_LOAD, MIN_CELL_BITS, MAX_CELL_BITS = 64, 16, 22
 PARITIES = 512
 #: entries of a list that one task compares with each other; members that are compared with one copy of a leader
-BLOCK_ROWS, MEMBERS = 4096, 512
+BLOCK_ROWS, MEMBERS = 4096, 64
 #: pairs that the blocks of a list give out at a time
 PAIRS = 1 << 18
 _U = np.uint64
@@ -361,12 +362,13 @@ def _verify(k: int):
 def _compare(scratch: Scratch, pairs: DataFrame, n: int, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b, na, nb, overlap, linked) of n pairs of classes; written to the shared folder.
 
-    Only texts that occur in a pair move: a member's once for each of its leaders, a leader's once for every
-    MEMBERS members. The texts of an id that repeats all come along; fingerprints tell which one is meant.
+    Only texts that occur in a pair move (others stop at a sieve before the shuffle): a member's once for each
+    of its leaders, a leader's once for every MEMBERS members. The texts of an id that repeats all come along; fingerprints tell which one is meant.
     """
     need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep_id", "fp1", "fp2"), "cid")
-    need = F.broadcast(need) if n <= 100_000 else need  # two rows a pair at most
-    texts = scratch.keep(docs.join(need, docs.doc_id == F.col("rep_id")).select("cid", "fp1", "fp2", "text"), "texts")
+    rows = sift(docs.withColumn("h", F.xxhash64("doc_id")), "h", need.select(F.xxhash64("rep_id").alias("h")), 2 * n)
+    rows = rows.where("maybe").select("doc_id", "text")
+    texts = scratch.keep(rows.join(need, rows.doc_id == F.col("rep_id")).select("cid", "fp1", "fp2", "text"), "texts")
     many = pairs.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > MEMBERS)
     parts = F.coalesce(F.ceil(F.col("m") / MEMBERS), F.lit(1)).cast("long")
     dealt = pairs.select("a", "b").join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("salt"))
@@ -561,13 +563,13 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; all columns kept.
 
     Rows without id or without words stay. Of rows that share the smallest id, those of one set of shingles
-    stay; rows that repeat both id and text share their verdict. Texts are shuffled only where the rows to
-    drop are too many to broadcast.
+    stay; rows that repeat both id and text share their verdict. Only texts that a sieve cannot clear are shuffled.
     """
-    gone = _answers(docs, k, percent).where("not keeps").select(F.col("doc_id").alias("g_id"), F.col("print").alias("g_print")).distinct()
-    gone = broadcast_if_small(materialize(gone, "gone"), 200_000)
-    same = (docs["doc_id"] == gone["g_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["g_print"])
-    return docs.join(gone, same, "left_anti")
+    gone = _answers(docs, k, percent).where("not keeps").select(F.col("doc_id").alias("g_id"), "print").distinct()
+    gone = materialize(gone.withColumn("h", F.xxhash64("g_id", "print")), "gone")
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    same = lambda r, g: (r["doc_id"] == g("g_id")) & (F.xxhash64(F.coalesce(r["text"], F.lit(""))) == g("print"))
+    return without(docs, F.xxhash64(F.col("doc_id").cast("long"), own), gone, gone.count(), same)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

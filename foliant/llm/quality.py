@@ -22,8 +22,8 @@ from foliant.llm.memory import lean, release
 from foliant.llm.spans import SpanIndex, mix, span_hashes
 
 BUCKETS, DIM, GRAMS, EPOCHS, BATCH, RATE, SEED = 1 << 17, 12, (3, 4), 4, 32, 20.0, 3
-#: documents that the classifier is fitted on at most
-TRAIN_DOCS = 4_000
+#: the classifier is fitted on at most so many documents with so many distinct features together
+TRAIN_DOCS, TRAIN_FEATURES = 4_000, 20_000_000
 THRESHOLD, FOLDS = 0.3, 5
 _CACHED_WORDS = 400_000
 
@@ -174,32 +174,51 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [featurize(t or "") for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"), batch.column("quality"), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())),
-                pa.array([f[1].astype(np.int32) for f in found], pa.list_(pa.int32())),
+                *(batch.column(c) for c in ("drawn", "doc_id", "print", "quality")),
+                *(pa.array([f[i].astype(np.int32) for f in found], pa.list_(pa.int32())) for i in (0, 1)),
             ],
-            ["doc_id", "quality", "ids", "counts"],
+            ["drawn", "doc_id", "print", "quality", "ids", "counts"],
         )
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
+def _trained(max_features: int):
+    """The model of a sample's features, which come in the order of their draw: weights as bytes, and the bias."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, labels, total = [], [], 0
+        for batch in batches:
+            ids, counts = batch.column("ids"), batch.column("counts")
+            for i, label in enumerate(batch.column("quality").to_pylist()):
+                total += len(ids[i])
+                if total <= max_features:
+                    features.append((ids[i].values.to_numpy().copy(), counts[i].values.to_numpy().copy()))
+                    labels.append(label)
+        model = train(features, np.array(labels, int))
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, max_features: int = TRAIN_FEATURES) -> Model:
     """Learn ``labels.quality`` from the texts of at most ``train_docs`` labelled documents.
 
     The sample is drawn by a hash of the id among labelled rows that are not held out, so it is the same
     on every run. An id that is labelled twice counts with its larger label; other labels than 0 and 1 and
-    nulls are ignored. Whole texts of the sample become sparse counts on the executors.
+    nulls are ignored; of an id with several texts one is learned from. Whole texts become sparse counts on
+    the executors, and one task learns from them: documents in the order of the draw, as long as they have
+    no more than ``max_features`` distinct features together, so memory is bounded whatever their length.
+    Only the model, four bytes a bucket, reaches the driver.
     """
     known = labels.where("quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     known = known.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
-    sample = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(train_docs)
+    sample = known.withColumn("drawn", F.xxhash64("doc_id", F.lit(SEED))).orderBy("drawn", "doc_id").limit(train_docs)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most train_docs rows
-    table = texts.mapInArrow(lean(_features, "text"), "doc_id long, quality int, ids array<int>, counts array<int>").toArrow()
-    order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
-    ids, counts = (table[c].combine_chunks() for c in ("ids", "counts"))
-    if not len(order):
-        return train([], np.empty(0, int))
-    at, flat = ids.offsets.to_numpy(), (ids.values.to_numpy(), counts.values.to_numpy())
-    quality = table["quality"].to_numpy()
-    return train([tuple(x[at[i] : at[i + 1]] for x in flat) for i in order], quality[order].astype(int))
+    texts = texts.select(F.col("drawn"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), "quality", "text")
+    counted = texts.mapInArrow(lean(_features, "text"), "drawn long, doc_id long, print long, quality int, ids array<int>, counts array<int>")
+    one = counted.groupBy("doc_id").agg(F.min_by(F.struct("drawn", "quality", "ids", "counts"), "print").alias("c")).select("doc_id", "c.*")
+    counted = one.repartition(1).sortWithinPartitions("drawn", "doc_id")  # at most train_docs rows
+    row = counted.mapInArrow(lean(_trained(max_features)), "weights binary, bias double").first()
+    return Model(np.zeros(BUCKETS), 0.0) if row is None else Model(np.frombuffer(row["weights"], np.float32), row["bias"])
 
 
 def score(text: Column, model: Model) -> Column:
@@ -219,7 +238,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, t
     """One row per row of ``docs``: doc_id, held_out, score, predicted (1 from ``threshold`` on).
 
     Only the text is an input of a score. Repeated rows get equal scores; an empty table gives an empty
-    table; without any usable label every score is 0.5. Other columns are not read.
+    table; without any usable label every score is 0.5. A score equal to the threshold predicts 1. Other
+    columns are not read.
     """
     model = fit(docs, labels, train_docs)
     rows = docs.select("doc_id", held_out().alias("held_out"), score(F.col("text"), model).alias("score"))
@@ -227,7 +247,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that :func:`classify` predicts as 0; same columns, no shuffle of texts."""
+    """``docs`` without the rows that :func:`classify` predicts as 0; same columns, no shuffle of texts.
+
+    Null and empty texts get the score of the bias alone and go or stay by it; repeated rows share their
+    verdict, ties at the threshold stay; an empty table gives an empty table; all other columns are kept
+    as they are.
+    """
     return docs.where(score(F.col("text"), fit(docs, labels)) >= threshold)
 
 

@@ -125,6 +125,25 @@ def test_sharding_covers_all_rows(spark, sf):
     assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in texts.items()}
 
 
+def test_licences_against_a_loop(spark, sf):
+    from test_small_cases import assert_like_the_model
+
+    rows = catalog.queries()["op8_license_scan"](spark, sf).collect()
+    texts = dict(table(sf, "SELECT doc_id, text FROM documents@"))
+    assert_like_the_model(rows, texts)
+
+
+def test_planted_licence_lines(spark):
+    """Whole lines that are a template are confirmed as its family; nothing else is."""
+    from foliant.llm import license_scan
+
+    sf = "/root/testdata/sf0.01"
+    family = {t: k for k, ts in license_scan.TEMPLATES.items() for t in ts} | {"All rights reserved.": "proprietary"}
+    want = {(d, i): family[x] for d, t in table(sf, "SELECT doc_id, text FROM documents@") for i, x in enumerate((t or "").split("\n")) if x in family}
+    got = {(r["doc_id"], r["paragraph"]): r["family"] for r in catalog.queries()["op8_license_scan"](spark, sf).where("confirmed").collect()}
+    assert len(want) > 40 and got == want
+
+
 def test_hnsw_against_brute_force(spark, sf):
     rows = table(sf, "SELECT vec_id, embedding, label FROM embeddings@")
     x = np.array([r[1] for r in rows], float)
