@@ -302,13 +302,14 @@ def shard_links(rows: np.ndarray, threshold: float, recall: float) -> tuple[Hnsw
     """Graph and links of one shard, and its audit: found, wanted, beam, rows that scanned the shard."""
     graph, within, scanned = Hnsw(rows, watch=threshold - SLACK), _Within(len(rows)), []
     ef, hit, wanted = audited_beam(graph, rows, rows, EF, threshold, recall, True)
-    if ef == EF:
+    inserted = ef == EF < len(rows)
+    if inserted:
         within.add(_verified(graph.met, rows, rows, threshold))
         full = np.flatnonzero(graph.full)
         within.add((full[a], b) for a, b in links(graph, rows, rows[full], 4 * EF, threshold, scanned))
         if within.missed(rows, threshold, recall):
-            ef = 2 * EF
-    if ef > EF:
+            ef, inserted = 2 * EF, False
+    if not inserted:
         within.add(links(graph, rows, rows, ef, threshold, scanned))
     graph.met = []
     return graph, within, (hit, wanted, ef, sum(scanned))
