@@ -49,16 +49,16 @@ def _terms(c: str, n: int) -> str:
 _CHUNKS = f"""lines AS (
   SELECT doc_id, source, substr(split_part(split_part(text, chr(10), 1), '.', 1), 1, 80) AS section, string_split(text, chr(10)) AS l FROM documents
 ), numbered AS (
-  SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number FROM documents
-), chunks AS (
-  SELECT doc_id * {T.LINES} + i - 1 AS chunk_id, doc_id AS page_id, page_number AS page, i - 1 AS chunk_index, section, l[i] AS text
+  SELECT doc_id, coalesce(source, '') AS manual, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number FROM documents
+), chunks AS MATERIALIZED (
+  SELECT doc_id * {T.LINES} + i - 1 AS chunk_id, doc_id AS page_id, manual, page_number AS page, i - 1 AS chunk_index, section, l[i] AS text
   FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM lines) JOIN numbered USING (doc_id) WHERE trim(l[i], ' ') <> ''
-), firsts AS (
+), firsts AS MATERIALIZED (
   SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY chunk_index) = 1
 )"""
-_QUESTIONS = "questions AS (SELECT conv_id * 1000 + turn AS question_id, conv_id, text AS question FROM conversations WHERE role = 'user')"
+_QUESTIONS = f"questions AS (SELECT conv_id * {T.TURNS} + turn AS question_id, conv_id, text AS question FROM conversations WHERE role = 'user')"
 _EVIDENCE = f"""{_CHUNKS}, {_QUESTIONS}, evidence AS (
-  SELECT question_id, question, CAST(k AS INTEGER) AS position, chunk_id, page, section, text,
+  SELECT question_id, question, CAST(k AS INTEGER) AS position, chunk_id, manual, page, section, text,
          CASE WHEN k % 4 <> 3 THEN k + 1 END AS vector_rank, CASE WHEN k % 3 <> 2 THEN k + 1 END AS lexical_rank,
          CASE WHEN k % 4 <> 3 THEN 0.40::DOUBLE + 0.05::DOUBLE * k + 0.01::DOUBLE * (conv_id % 20) END AS distance, 0.03::DOUBLE - 0.002::DOUBLE * k AS score
   FROM questions CROSS JOIN range(8) r(k) JOIN firsts ON page_id = (conv_id * 7 + k * 13) % (SELECT count(*) FROM documents)
@@ -67,7 +67,7 @@ _QVEC = """qvec AS (
   SELECT question_id, list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: z[1] + z[2]) AS q FROM questions
   JOIN embeddings a ON a.vec_id = conv_id % (SELECT count(*) FROM embeddings) JOIN embeddings b ON b.vec_id = (conv_id + 1) % (SELECT count(*) FROM embeddings)
 )"""
-_KNN = f"""knn AS (
+_KNN = f"""knn AS MATERIALIZED (
   SELECT question_id, chunk_id, distance, row_number() OVER (PARTITION BY question_id ORDER BY distance, chunk_id) AS vector_rank
   FROM (SELECT question_id, chunk_id, 1 - list_cosine_similarity(q, embedding::DOUBLE[]) AS distance FROM qvec CROSS JOIN (
     SELECT chunk_id, embedding FROM firsts JOIN embeddings ON vec_id = page_id) v)
@@ -81,28 +81,42 @@ def _grams(tokens: str) -> str:
     return "list_concat(" * 2 + parts[0] + ", " + parts[1] + "), " + parts[2] + ")"
 
 
-def _bm25(name: str, terms: str) -> str:
-    """CTEs that end in ``name`` (question_id, chunk_id, bm25, lexical_rank) for the terms of a CTE."""
-    norm = f"{V.BM25_K1} * ({1 - V.BM25_B} + {V.BM25_B} * n_tokens / avgdl)"
+def _bm25(*searches: tuple[str, str]) -> str:
+    """CTEs that end in each search's ``name`` (question_id, chunk_id, bm25, lexical_rank) for the terms of a CTE.
+
+    All searches share one look-up of the phrases that any of them asks.
+    """
+    asked = " UNION ".join(f"SELECT phrase FROM {name}_p" for name, _ in searches)
+    found = f"""asked AS ({asked}), found AS MATERIALIZED (
+  SELECT phrase, chunk_id, sum(w) AS f FROM (
+    SELECT chunk_id, unnest({_grams("st")}) AS phrase, {V.SECTION_WEIGHT} AS w FROM tokens UNION ALL SELECT chunk_id, unnest({_grams("tt")}), {V.TEXT_WEIGHT} FROM tokens)
+  WHERE phrase IN (SELECT phrase FROM asked) GROUP BY ALL
+), weighed AS MATERIALIZED (
+  SELECT phrase, chunk_id, idf * f * {V.BM25_K1 + 1} / (f + {V.BM25_K1} * ({1 - V.BM25_B} + {V.BM25_B} * n_tokens / avgdl)) AS part
+  FROM found JOIN tokens USING (chunk_id) CROSS JOIN stats JOIN (
+    SELECT phrase, ln((n_docs - df + 0.5) / (df + 0.5)) AS raw, CASE WHEN raw <= 0 THEN {V.MIN_IDF} ELSE raw END AS idf
+    FROM (SELECT phrase, count(*) AS df FROM found GROUP BY phrase) CROSS JOIN stats) USING (phrase)
+)"""
+    return ", ".join([*(_asked(*s) for s in searches), found, *(_ranked(name) for name, _ in searches)])
+
+
+def _asked(name: str, terms: str) -> str:
     pairs = "list_transform(generate_series(1, len(terms) - 1), lambda i: terms[i] || ' ' || terms[i + 1])"
-    return f"""{name}_p AS (
+    return f"""{name}_p AS MATERIALIZED (
   SELECT question_id, phrase, count(*) AS n FROM (
     SELECT question_id, array_to_string(regexp_extract_all(p, '[\\p{{L}}\\p{{N}}]+'), ' ') AS phrase
-    FROM (SELECT question_id, unnest(list_concat({pairs}, terms)) AS p FROM {terms})) WHERE phrase <> '' GROUP BY ALL
-), {name}_f AS (
-  SELECT phrase, chunk_id, sum(w) AS f FROM (
-    SELECT chunk_id, unnest({_grams("st")}) AS phrase, {V.SECTION_WEIGHT} AS w FROM tokens UNION ALL SELECT chunk_id, unnest({_grams("tt")}), {V.TEXT_WEIGHT} FROM tokens)
-  WHERE phrase IN (SELECT phrase FROM {name}_p) GROUP BY ALL
-), {name}_d AS (SELECT phrase, count(*) AS df FROM {name}_f GROUP BY phrase), {name} AS (
-  SELECT question_id, chunk_id, bm25, row_number() OVER (PARTITION BY question_id ORDER BY round(bm25, 9), chunk_id) AS lexical_rank FROM (
-    SELECT question_id, chunk_id, -sum(n * idf * f * {V.BM25_K1 + 1} / (f + {norm})) AS bm25
-    FROM (SELECT *, ln((n_docs - df + 0.5) / (df + 0.5)) AS raw, CASE WHEN raw <= 0 THEN {V.MIN_IDF} ELSE raw END AS idf FROM {name}_d CROSS JOIN stats)
-    JOIN {name}_f USING (phrase) JOIN {name}_p USING (phrase) JOIN tokens USING (chunk_id) GROUP BY ALL)
+    FROM (SELECT question_id, unnest(list_concat({pairs}, terms)) AS p FROM {terms})) WHERE phrase <> '' GROUP BY ALL)"""
+
+
+def _ranked(name: str) -> str:
+    return f"""{name} AS MATERIALIZED (
+  SELECT question_id, chunk_id, bm25, row_number() OVER (PARTITION BY question_id ORDER BY round(bm25, 9), chunk_id) AS lexical_rank
+  FROM (SELECT question_id, chunk_id, -sum(n * part) AS bm25 FROM weighed JOIN {name}_p USING (phrase) GROUP BY ALL)
   QUALIFY lexical_rank <= {V.FTS_CANDIDATES}
 )"""
 
 
-_TOKENS = f"""tokens AS (SELECT chunk_id, {_WORDS.format("section")} AS st, {_WORDS.format("text")} AS tt, len(st) + len(tt) AS n_tokens FROM chunks),
+_TOKENS = f"""tokens AS MATERIALIZED (SELECT chunk_id, {_WORDS.format("section")} AS st, {_WORDS.format("text")} AS tt, len(st) + len(tt) AS n_tokens FROM chunks),
 stats AS (SELECT count(*) AS n_docs, avg(n_tokens) AS avgdl FROM tokens)"""
 _HAY = "lower(coalesce(section, '') || ' ' || coalesce(text, ''))"
 
@@ -212,8 +226,7 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT DISTINCT chunk_id, unnest(list_concat(st, tt)) AS term FROM tokens) GROUP BY term""")
 def fts_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = retrieve.index_tokens(T.chunks(spark, sf_dir))
-    terms = index.select("chunk_id", F.explode(F.array_union("section_tokens", "text_tokens")).alias("term"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    df = retrieve.term_frequencies(index)
     return df.crossJoin(F.broadcast(retrieve.corpus_stats(index))).withColumn("avgdl", F.round("avgdl", 6))
 
 
@@ -225,7 +238,7 @@ def _question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QTERMS = f"qterms AS (SELECT question_id, question, {_terms('question', V.ORIGINAL_TERMS)} AS terms FROM questions)"
 
 
-@_register("bm25_topk", f"WITH {_CHUNKS}, {_QUESTIONS}, {_TOKENS}, {_QTERMS}, {_bm25('lex', 'qterms')} SELECT question_id, chunk_id, round(bm25, 6) AS bm25, lexical_rank FROM lex")
+@_register("bm25_topk", f"WITH {_CHUNKS}, {_QUESTIONS}, {_TOKENS}, {_QTERMS}, {_bm25(('lex', 'qterms'))} SELECT question_id, chunk_id, round(bm25, 6) AS bm25, lexical_rank FROM lex")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = retrieve.index_tokens(T.chunks(spark, sf_dir))
     found = retrieve.bm25(index, retrieve.question_phrases(_question_terms(spark, sf_dir)))
@@ -258,7 +271,7 @@ def feedback_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("question_id", F.array_join(retrieve.expand_terms("question", "sections"), " ").alias("terms"))
 
 
-_MERGED = f"""{_bm25('one', 'qterms')}, {_bm25('two', 'wide')}, merged AS (
+_MERGED = f"""{_bm25(('one', 'qterms'), ('two', 'wide'))}, merged AS (
   SELECT coalesce(a.question_id, b.question_id) AS question_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id,
     coalesce(a.lexical_rank, b.lexical_rank + coalesce(n, 0)) AS lexical_rank
   FROM one a FULL JOIN two b ON a.question_id = b.question_id AND a.chunk_id = b.chunk_id
@@ -273,8 +286,7 @@ def lexical_rank_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = retrieve.feedback_sections(near.join(T.first_chunks(spark, sf_dir).select("chunk_id", "section"), "chunk_id"))
     terms, index = _question_terms(spark, sf_dir), retrieve.index_tokens(T.chunks(spark, sf_dir))
     wide = terms.join(sections, "question_id", "left").withColumn("terms", retrieve.expand_terms("question", "sections"))
-    first, second = (retrieve.bm25(index, retrieve.question_phrases(t)) for t in (terms, wide))
-    return retrieve.merge_lexical(first, second).withColumn("lexical_rank", F.col("lexical_rank").cast("long"))
+    return retrieve.merge_lexical(*retrieve.search_twice(index, terms, wide)).withColumn("lexical_rank", F.col("lexical_rank").cast("long"))
 
 
 _FUSED = f"""fused AS (
@@ -291,7 +303,7 @@ _ORDER = "round(score, 12) DESC, vector_rank ASC NULLS LAST, lexical_rank ASC NU
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = T.questions(spark, sf_dir).select("question_id", "question")
-    return hybrid.retrieve_candidates(q, T.question_vectors(spark, sf_dir), fx.store(spark, sf_dir))
+    return hybrid.retrieve_candidates(q, T.question_vectors(spark, sf_dir), fx.store(spark, sf_dir, stem=False))  # SQL has no stems
 
 
 @_register("hybrid_fusion", f"WITH {_BOTH}, {_FUSED} SELECT question_id, chunk_id, page, vector_rank, lexical_rank, round(distance, 6) AS distance, round(score, 9) AS score FROM fused")
@@ -302,7 +314,7 @@ def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_TOP = f"""paged AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY question_id, page ORDER BY {_ORDER}) <= {V.PER_PAGE}),
+_TOP = f"""paged AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY question_id, manual, page ORDER BY {_ORDER}) <= {V.PER_PAGE}),
 topk AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY {_ORDER}) - 1 AS position FROM paged QUALIFY position < {V.TOP_K})"""
 
 
@@ -312,7 +324,7 @@ def hybrid_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("question_id", F.col("position").cast("long").alias("position"), "chunk_id", "page", "section", F.round("score", 9).alias("score"))
 
 
-@_register("diverse_topk", f"""WITH {_EVIDENCE}, paged AS (SELECT * FROM evidence QUALIFY row_number() OVER (PARTITION BY question_id, page % 4 ORDER BY {_ORDER}) <= 2)
+@_register("diverse_topk", f"""WITH {_EVIDENCE}, paged AS (SELECT * FROM evidence QUALIFY row_number() OVER (PARTITION BY question_id, manual, page % 4 ORDER BY {_ORDER}) <= 2)
 SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY {_ORDER}) - 1 AS place FROM paged QUALIFY place < 6""")
 def diverse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.evidence(spark, sf_dir).withColumn("page", F.col("page") % 4).drop("position")
@@ -353,25 +365,25 @@ def select_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("select_complement", f"""WITH {_EVIDENCE}, {_TARGET}, m AS (SELECT *, {_MATCH} AS own FROM evidence), c AS (
   SELECT m.question_id, m.chunk_id, m.position, len(list_filter(m.own, lambda t: NOT list_contains(f.own, t))) AS gain
   FROM m JOIN target USING (question_id) JOIN m f ON f.question_id = m.question_id AND f.position = target.position
-  WHERE m.chunk_id <> target.chunk_id AND lower(m.section) <> lower(target.section))
+  WHERE m.chunk_id <> target.chunk_id AND (lower(m.section) <> lower(target.section) OR m.manual <> target.manual))
 SELECT question_id, chunk_id, CAST(gain AS INTEGER) AS gain FROM c WHERE gain >= 2 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY gain DESC, position) = 1""")
 def select_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.evidence(spark, sf_dir)
     return route.select_complement(rows, route.select_target(rows)).select("question_id", "chunk_id", "gain")
 
 
-_PLACED = "placed AS (SELECT *, lower(section) AS section_key, row_number() OVER (PARTITION BY lower(section) ORDER BY page, chunk_index, chunk_id) - 1 AS ordinal FROM chunks)"
+_PLACED = "placed AS (SELECT *, lower(section) AS section_key, row_number() OVER (PARTITION BY manual, lower(section) ORDER BY page, chunk_index, chunk_id) - 1 AS ordinal FROM chunks)"
 
 
 @_register("section_window", f"""WITH {_EVIDENCE}, {_TARGET}, {_PLACED} SELECT t.question_id, p.chunk_id, row_number() OVER (PARTITION BY t.question_id ORDER BY p.ordinal) - 1 AS position,
-  round(t.score, 9) AS score FROM target t JOIN placed o ON o.chunk_id = t.chunk_id JOIN placed p ON p.section_key = o.section_key AND abs(p.ordinal - o.ordinal) <= {V.RADIUS}""")
+  round(t.score, 9) AS score FROM target t JOIN placed o ON o.chunk_id = t.chunk_id JOIN placed p ON p.manual = o.manual AND p.section_key = o.section_key AND abs(p.ordinal - o.ordinal) <= {V.RADIUS}""")
 def section_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = route.section_window(route.select_target(T.evidence(spark, sf_dir)), fx.paged_chunks(spark, sf_dir))
     return rows.select("question_id", "chunk_id", F.col("position").cast("long").alias("position"), F.round("score", 9).alias("score"))
 
 
 @_register("nearest_section", f"""WITH {_EVIDENCE} SELECT question_id, position, e.chunk_id AS from_chunk, c.chunk_id, round(score * {V.REFERENCE_DECAY}, 9) AS score
-FROM evidence e JOIN chunks c ON lower(c.section) = lower(e.section)
+FROM evidence e JOIN chunks c ON c.manual = e.manual AND lower(c.section) = lower(e.section)
 QUALIFY row_number() OVER (PARTITION BY question_id, position ORDER BY abs(c.page - e.page - 3), c.chunk_index, c.page, c.chunk_id) = 1""")
 def nearest_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.evidence(spark, sf_dir).withColumn("ref_id", F.struct("question_id", "position", F.col("chunk_id").alias("from_chunk")))
@@ -425,21 +437,21 @@ def answer_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.validate_answers(answers, evidence).unionByName(own).select("question_id", F.sha2("answer", 256).alias("answer_sha256"), "valid")
 
 
-@_register("citation_numbers", """SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text, '(^|[^A-Za-z])(\\d+(?:[.,]\\d+)?)', 2), lambda n: n <> ''),
-  lambda n: replace(n, ',', '.')))), ' ') AS numbers FROM documents WHERE NOT regexp_matches(text, '[A-Za-z]\\d')""")
+@_register("citation_numbers", """SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(coalesce(text, ''), '([A-Za-z])[0-9]', '\\1 ', 'g'), '\\d+(?:[.,]\\d+)?'),
+  lambda n: replace(n, ',', '.')))), ' ') AS numbers FROM documents""")
 def citation_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = T.read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[A-Za-z]\d"))
+    docs = T.read(spark, sf_dir, "documents")
     return docs.select("doc_id", F.array_join(F.array_sort(X.numbers("text")), " ").alias("numbers"))
 
 
-_PAGED_IMAGES = """paged_images AS (SELECT p_partkey AS image_id, page_number AS page, 'Fig. ' || p_partkey || ' ' || p_name AS caption FROM part
+_PAGED_IMAGES = """paged_images AS (SELECT p_partkey AS image_id, manual, page_number AS page, 'Fig. ' || p_partkey || ' ' || p_name AS caption FROM part
   JOIN numbered ON doc_id = p_partkey % (SELECT count(*) FROM documents))"""
 
 
 @_register("caption_images", f"""WITH {_EVIDENCE}, {_PAGED_IMAGES}, near AS (
-  SELECT question_id, question, p AS page, bool_or(p = page) AS exact FROM (SELECT DISTINCT question_id, question, page, unnest([page - 1, page, page + 1]) AS p FROM evidence) WHERE p >= 1 GROUP BY ALL
+  SELECT question_id, question, manual, p AS page, bool_or(p = page) AS exact FROM (SELECT DISTINCT question_id, question, manual, page, unnest([page - 1, page, page + 1]) AS p FROM evidence) WHERE p >= 1 GROUP BY ALL
 ), o AS (SELECT question_id, image_id, i.page, caption, len(list_filter({_terms('question', V.FOCUS_TERMS)}, lambda t: contains(lower(caption), t))) AS overlap, exact
-  FROM near JOIN paged_images i ON i.page = near.page)
+  FROM near JOIN paged_images i ON i.manual = near.manual AND i.page = near.page)
 SELECT question_id, image_id, page, caption, overlap + CASE WHEN exact THEN 0.5::DOUBLE ELSE 0 END AS image_score, row_number() OVER (PARTITION BY question_id ORDER BY image_score DESC, image_id) AS nth
 FROM o WHERE overlap > 0 QUALIFY nth <= {V.IMAGES}""")
 def caption_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,13 +459,21 @@ def caption_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("nth", F.col("nth").cast("long"))
 
 
-@_register("figure_images", f"""WITH e AS {_values(fx.FIGURES, 'question_id, position, text')},
-s AS (SELECT question_id, position, unnest(regexp_extract_all(text, '(?i)(?:⇒\\s*)?Fig\\.\\s*(\\d+)', 1)) AS figure FROM e),
-f AS (SELECT question_id, figure, min(position) AS seen FROM s GROUP BY ALL)
-SELECT question_id, figure, p_partkey AS image_id, row_number() OVER (PARTITION BY question_id ORDER BY seen, figure) AS nth FROM f JOIN part ON CAST(p_partkey AS VARCHAR) = figure""")
+@_register("figure_images", f"""WITH {_CHUNKS}, {_QUESTIONS}, {_PAGED_IMAGES}, e AS (
+  SELECT question_id, manual, question_id % 3 AS position, 'See Fig. ' || p_partkey || ' and fig. ' || (p_partkey + 1) AS text
+  FROM questions JOIN part ON p_partkey = question_id % (SELECT count(*) FROM part) JOIN numbered ON doc_id = p_partkey % (SELECT count(*) FROM documents)),
+s AS (SELECT question_id, manual, position, unnest(regexp_extract_all(text, '(?i)(?:⇒\\s*)?Fig\\.\\s*(\\d+)', 1)) AS figure FROM e),
+f AS (SELECT question_id, manual, figure, min(position) AS seen FROM s GROUP BY ALL)
+SELECT question_id, figure, image_id, row_number() OVER (PARTITION BY question_id ORDER BY seen, CAST(figure AS BIGINT)) AS nth
+FROM f JOIN paged_images i ON i.manual = f.manual AND CAST(image_id AS VARCHAR) = figure""")
 def figure_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(fx.FIGURES, "question_id long, position int, text string")
-    return images.figure_images(rows, T.images(spark, sf_dir)).withColumn("nth", F.col("nth").cast("long"))
+    """Every question with a text that names two figures of its part's manual, one of which may be another manual's."""
+    shown = fx.paged_images(spark, sf_dir)
+    n = F.broadcast(shown.agg(F.count("*").alias("n")))
+    text = F.concat(F.lit("See Fig. "), F.col("image_id"), F.lit(" and fig. "), F.col("image_id") + 1)
+    rows = T.questions(spark, sf_dir).crossJoin(n).withColumn("image_id", F.col("question_id") % F.col("n")).join(shown.select("image_id", "manual"), "image_id")
+    rows = rows.select("question_id", "manual", (F.col("question_id") % 3).alias("position"), text.alias("text"))
+    return images.figure_images(rows, shown).withColumn("nth", F.col("nth").cast("long"))
 
 
 # --- Ingestion, metrics, checks -----------------------------------------------------------------------------------
@@ -524,10 +544,14 @@ SELECT 'pages without chunks', (SELECT count(*) FROM documents WHERE doc_id NOT
 SELECT 'images without page', (SELECT count(*) FROM part) - (SELECT count(*) FROM paged_images) UNION ALL
 SELECT 'pages without vector', (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) UNION ALL
 SELECT 'vectors without page', (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) UNION ALL
-SELECT 'figure mentions', (SELECT coalesce(sum(len(regexp_extract_all(text, '\\bFig\\.\\s*(\\d+)\\b'))), 0) FROM documents) UNION ALL SELECT 'changed rows', 0""")
+SELECT 'figure mentions', (SELECT coalesce(sum(len(regexp_extract_all(text, '\\bFig\\.\\s*(\\d+)\\b'))), 0) FROM documents) UNION ALL
+SELECT 'changed rows', (SELECT 2 * count(*) FROM part WHERE p_partkey % 7 = 0) + (SELECT count(*) FROM part WHERE p_partkey % 7 = 1)""")
 def integrity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, chunks = T.read(spark, sf_dir, "documents"), T.chunks(spark, sf_dir)
     vecs, imgs = T.read(spark, sf_dir, "embeddings"), T.images(spark, sf_dir)
+    # a rebuild that loses some image rows and rewrites the captions of others
+    caption = F.when(F.col("image_id") % 7 == 0, F.concat("caption", F.lit("!"))).otherwise(F.col("caption"))
+    after = imgs.where("image_id % 7 <> 1").withColumn("caption", caption)
     page_ids = docs.select(F.col("doc_id").alias("page_id"))
     both = page_ids.select("page_id", F.lit(1).alias("p")).join(vecs.select(F.col("vec_id").alias("page_id"), F.lit(1).alias("v")), "page_id", "full_outer")
     count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check_name"), "n")
@@ -536,7 +560,7 @@ def integrity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         count(imgs.join(page_ids, "page_id", "left_anti"), "images without page"), count(both.where("v is null"), "pages without vector"),
         count(both.where("p is null"), "vectors without page"),
         docs.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(V.FIGURE_MENTION))), F.lit(0)).cast("long").alias("n")).select(F.lit("figure mentions").alias("check_name"), "n"),
-        count(T.set_difference(imgs, imgs.select("*")), "changed rows"),
+        count(T.set_difference(imgs, after), "changed rows"),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -544,6 +568,33 @@ def integrity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@_register("distinct_pages", "SELECT doc_id, page, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '\\d+'), lambda n: CAST(n AS HUGEINT) % 50)) AS page FROM documents) GROUP BY ALL")
+def distinct_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that an answer names (here: numbers of documents, as page numbers under 50), with their mentions."""
+    named = F.transform(F.regexp_extract_all(X.text_or_empty("text"), F.lit(r"\d+"), F.lit(0)), lambda n: (n.cast("decimal(38,0)") % 50).cast("long"))
+    return T.read(spark, sf_dir, "documents").select("doc_id", F.explode(named).alias("page")).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+
+
+@_register("source_listing", f"""WITH {_EVIDENCE} SELECT question_id, sha256(string_agg('p. ' || page || CASE WHEN section <> '' THEN ' — ' || section ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY position)) AS listing_sha256
+FROM evidence GROUP BY question_id""")
+def source_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.source_listing(T.evidence(spark, sf_dir)).select("question_id", F.sha2("listing", 256).alias("listing_sha256"))
+
+
+@_register("images_by_page", """SELECT manual, page_number AS page, count(*) AS n_images, sha256(string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey)) AS ids_sha256
+FROM part JOIN (SELECT doc_id, coalesce(source, '') AS manual, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number FROM documents) ON doc_id = p_partkey % (SELECT count(*) FROM documents)
+GROUP BY ALL""")
+def images_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.images_by_page(fx.paged_images(spark, sf_dir))
+    ids = F.array_join(F.transform("images", lambda i: i["image_id"].cast("string")), ",")
+    return rows.select("manual", "page", F.size("images").cast("long").alias("n_images"), F.sha2(ids, 256).alias("ids_sha256"))
+
+
+@_register("page_map", """SELECT coalesce(source, '') AS manual, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number, doc_id AS page_id FROM documents""")
+def page_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.page_map(T.pages(spark, sf_dir)).withColumn("page_number", F.col("page_number").cast("long"))
+
+
 @_register("page_diversity_stats", f"""WITH {_EVIDENCE} SELECT question_id, count(DISTINCT page) AS n_pages, max(n) AS most_on_page FROM (
   SELECT question_id, page, count(*) OVER (PARTITION BY question_id, page) AS n FROM evidence) GROUP BY question_id""")
 def page_diversity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -553,7 +604,7 @@ def page_diversity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("grounded_answers")
 def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole path: every user question to its answer, evidence and images."""
+    """The whole path over a stemmed index: every user question to its answer, evidence and images."""
     q = T.questions(spark, sf_dir).select("question_id", "question")
     out = hybrid.answer_questions(q, T.question_vectors(spark, sf_dir), fx.store(spark, sf_dir))
     return out.select("question_id", F.sha2("text", 256).alias("answer_sha256"), F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"), F.coalesce(F.size("images"), F.lit(0)).alias("n_images"))

@@ -48,17 +48,18 @@ PAGES = [
 
 
 def paged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = T.pages(spark, sf_dir).select("page_id", F.col("page_number").cast("long").alias("page"))
+    pages = T.pages(spark, sf_dir).select("page_id", "manual", F.col("page_number").cast("long").alias("page"))
     return T.chunks(spark, sf_dir).join(pages, "page_id")
 
 
 def paged_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = T.pages(spark, sf_dir).select("page_id", F.col("page_number").cast("long").alias("page"))
+    pages = T.pages(spark, sf_dir).select("page_id", "manual", F.col("page_number").cast("long").alias("page"))
     return T.images(spark, sf_dir).join(pages, "page_id")
 
 
-def store(spark: SparkSession, sf_dir: str) -> Store:
-    return Store(paged_chunks(spark, sf_dir), T.vectors(spark, sf_dir), paged_images(spark, sf_dir), retrieve.index_tokens(T.chunks(spark, sf_dir)))
+def store(spark: SparkSession, sf_dir: str, stem: bool = True) -> Store:
+    index = retrieve.index_tokens(T.chunks(spark, sf_dir), stem)
+    return Store(paged_chunks(spark, sf_dir), T.vectors(spark, sf_dir), paged_images(spark, sf_dir), index, stem)
 
 
 def reference_manual(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -67,9 +68,9 @@ def reference_manual(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         (-1, 1, 0, "Start", "See ⇒ Brakes, and ⇒ Lights. Also ⇒ Nowhere."), (-2, 5, 0, "Brakes", "More in ⇒ Pads, and ⇒ Start."), (-3, 9, 0, "Lights", "⇒ Fuses."),
         (-4, 4, 0, "Brakes", "Second copy"), (-5, 20, 0, "Pads", "⇒ Fuses."), (-6, 30, 0, "Fuses", "⇒ Battery."), (-7, 40, 0, "Battery", "End."),
     ]
-    chunks = spark.createDataFrame(manual, "chunk_id long, page long, chunk_index int, section string, text string")
+    chunks = spark.createDataFrame(manual, "chunk_id long, page long, chunk_index int, section string, text string").withColumn("manual", F.lit("m"))
     context = chunks.where("chunk_id = -1").select(
-        F.lit(-1).cast("long").alias("question_id"), F.lit(0).alias("position"), "chunk_id", "page", "section", "text", F.lit(1.0).alias("score"), F.lit(0.5).alias("distance")
+        F.lit(-1).cast("long").alias("question_id"), F.lit(0).alias("position"), "chunk_id", "manual", "page", "section", "text", F.lit(1.0).alias("score"), F.lit(0.5).alias("distance")
     )
     return context, chunks
 

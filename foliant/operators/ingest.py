@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,10 +16,10 @@ from foliant.functions import udfs
 
 
 def promote_headings(pages: DataFrame, levels: DataFrame) -> DataFrame:
-    """Pages (doc_id, page_number, markdown) with the blocks that ``levels`` (page_number, normalized, level) names as headings."""
+    """Pages (doc_id, page_number, markdown) with the blocks that ``levels`` (doc_id, page_number, normalized, level) names as headings."""
     blocks = pages.select("doc_id", "page_number", F.posexplode(F.split("markdown", r"\n\s*\n")).alias("n", "block"))
     blocks = blocks.withColumn("block", X.strip("block")).where("block <> ''").withColumn("normalized", udfs.normalized_heading(F.col("block")))
-    rows = blocks.join(levels, ["page_number", "normalized"], "left")
+    rows = blocks.join(levels, ["doc_id", "page_number", "normalized"], "left")
     heading = F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), X.one_line("block"))
     rows = rows.withColumn("block", F.when(F.col("level").isNotNull(), heading).otherwise(F.col("block")))
     joined = F.array_join(F.sort_array(F.collect_list(F.struct("n", "block")))["block"], "\n\n")
@@ -108,37 +108,43 @@ def pack_page(rows: list[tuple[str, str, str, str]], fallback: tuple[str, str],
     """Chunks (context, text) of one page from its (chapter, topic, qualifier, body) blocks.
 
     Neighbouring blocks of one context share a chunk while its tokens stay within ``limit``; a block
-    that is too long alone is cut at sentences, a sentence at words.
+    that is too long alone is cut at sentences, a sentence at words. ``count`` must be a constant plus a sum
+    over the words that white space parts, as word pieces are: so what a chunk holds is added up, not counted again.
     """
-    fits = lambda context, body: count(_render(*context, body)) <= limit
+    nothing = count("")
+    size = lambda text: count(text) - nothing
+    heads: dict[tuple, int] = {}
 
-    def gather(parts: list[str], context: tuple, deeper) -> Iterator[str]:
-        held = ""
+    def room(context: tuple) -> int:
+        if context not in heads:
+            heads[context] = limit - nothing - size(_render(*context, ""))
+        return heads[context]
+
+    def gather(parts: list[str], context: tuple, deeper: bool) -> Iterator[tuple[str, int]]:
+        held, used = [], 0
         for part in parts:
-            longer = f"{held} {part}".strip()
-            if held and not fits(context, longer):
-                yield held
-                held, longer = "", part
-            if deeper and not fits(context, part):
-                yield from gather(part.split(), context, None)
-            else:
-                held = longer
+            own = size(part)
+            if held and used + own > room(context):
+                yield " ".join(held), used
+                held, used = [], 0
+            if deeper and own > room(context):
+                yield from gather(part.split(), context, False)
+            elif part:
+                held, used = [*held, part], used + own
         if held:
-            yield held
+            yield " ".join(held), used
 
-    pieces = []
+    out: list[tuple[tuple, list[str], int]] = []
     for *context, body in rows:
-        context = tuple(context)
-        whole = fits(context, body)
-        parts = [body] if whole else gather(re.split(V.SENTENCE_END, re.sub(r"\s+", " ", body).strip()), context, True)
-        pieces += [(context, p) for p in parts]
-    out: list[tuple[tuple, str]] = []
-    for context, piece in pieces:
-        if out and out[-1][0] == context and fits(context, f"{out[-1][1]}\n\n{piece}"):
-            out[-1] = (context, f"{out[-1][1]}\n\n{piece}")
-        else:
-            out.append((context, piece))
-    return out or [((*fallback, ""), V.NO_TEXT)]
+        context, own = tuple(context), size(body)
+        whole = [(body, own)]
+        cut = own > room(context)
+        for piece, n in gather(re.split(V.SENTENCE_END, re.sub(r"\s+", " ", body).strip()), context, True) if cut else whole:
+            if out and out[-1][0] == context and out[-1][2] + n <= room(context):
+                out[-1] = (context, [*out[-1][1], piece], out[-1][2] + n)
+            else:
+                out.append((context, [piece], n))
+    return [(context, "\n\n".join(parts)) for context, parts, _ in out] or [((*fallback, ""), V.NO_TEXT)]
 
 
 def pack_chunks(state: DataFrame, vocabulary: dict[str, int], limit: int = V.CHUNK_TOKENS) -> DataFrame:
@@ -149,20 +155,36 @@ def pack_chunks(state: DataFrame, vocabulary: dict[str, int], limit: int = V.CHU
     """
     schema = "doc_id long, page_number int, chunk_index int, section string, markdown string, n_tokens int"
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tokenizer = udfs.WordPiece(vocabulary)
-        pdf = pdf.sort_values("idx")
-        body = pdf[pdf["kind"] == "body"]
-        last = pdf.iloc[-1]
-        packed = pack_page(
-            list(zip(body["chapter"], body["topic"], body["qualifier"], body["body"])), (last["chapter"], last["topic"]), tokenizer.count, limit
-        )
-        out = []
-        for i, (context, text) in enumerate(packed):
+    def page(tokenizer: udfs.WordPiece, key: tuple, blocks_: list[tuple]) -> Iterator[tuple]:
+        last = blocks_[-1]
+        body = [b[1:] for b in blocks_ if b[0] == "body"]
+        for i, (context, text) in enumerate(pack_page(body, (last[1], last[2]), tokenizer.count, limit)):
             markdown = _render(*context, text)
             if (n := tokenizer.count(markdown)) > limit:
                 raise ValueError(f"chunk exceeds the token budget on page {key[1]}: {n}")
-            out.append((key[0], key[1], i, context[1] or context[0], markdown, n))
-        return pd.DataFrame(out, columns=["doc_id", "page_number", "chunk_index", "section", "markdown", "n_tokens"])
+            yield (*key, i, context[1] or context[0], markdown, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = udfs.WordPiece(vocabulary)  # one a task: what it learns of words serves all pages
+        names = ["doc_id", "page_number", "kind", "chapter", "topic", "qualifier", "body"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()]
+        held, key = [], None
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "page_number", "chunk_index", "section", "markdown", "n_tokens"])
+
+        for batch in batches:
+            out = []
+            for doc, number, *block in zip(*(batch.column(n).to_pylist() for n in names)):
+                if key != (doc, number):
+                    if held:
+                        out += page(tokenizer, key, held)
+                    held, key = [], (doc, number)
+                held.append(tuple(block))
+            if out:
+                yield batch_of(out)
+        if held:
+            yield batch_of(list(page(tokenizer, key, held)))
 
-    return state.groupBy("doc_id", "page_number").applyInPandas(run, schema)
+    rows = state.repartition("doc_id", "page_number").sortWithinPartitions("doc_id", "page_number", "idx")
+    return rows.select("doc_id", "page_number", "kind", "chapter", "topic", "qualifier", "body").mapInArrow(run, schema)

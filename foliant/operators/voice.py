@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ _WORD = re.compile(r"[a-z']+")
 _DOMAIN, _NEVER = frozenset(V.DOMAIN_WORDS), frozenset(V.NEVER_FUZZY)
 
 
+@functools.lru_cache(100_000)
 def nearest_term(word: str, in_domain: bool) -> str:
     """The one term of the vocabulary within the edit limit, or the word itself."""
     if len(word) < 4 or word in _DOMAIN or word in _NEVER:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import fixed_values as V
 from foliant.operators import ingest, retrieve
-from foliant.runtime import materialize
+from foliant.runtime import materialize, numbered
 from foliant.sources import tables as T
 
 
@@ -34,9 +34,9 @@ def read_vocabulary(spark: SparkSession, path: str) -> dict[str, int]:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text): whole files, numbered by the order of their names."""
+    """(doc_id, text): whole files, numbered by the order of their names; the texts are not sorted."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("name"), F.col("value").alias("text"))
-    return files.withColumn("doc_id", F.row_number().over(W.orderBy("name")).cast("long") - 1).select("doc_id", "text")
+    return files.join(numbered(files.select("name"), "name", "doc_id"), "name").select("doc_id", "text")
 
 
 def check_pages(pages: DataFrame, page_ids: DataFrame) -> None:
@@ -66,9 +66,10 @@ def zip_strict(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 
 
 def run(spark: SparkSession, job: IngestJob, levels: DataFrame | None = None) -> DataFrame:
-    """Build ``chunks``, ``tokens`` and ``corpus_stats`` below ``job.output``; returns the chunks.
+    """Build ``chunks``, ``tokens``, ``terms`` and ``corpus_stats`` below ``job.output``; returns the chunks.
 
-    Tables are written aside and swapped in, so readers see whole tables only.
+    The index is stemmed and free of diacritics; ``terms`` has every term's document frequency. Each table is a new
+    version that becomes the present one at once, so readers see whole tables only (``sources.tables.read_table``).
     """
     if job.convert is not None:
         job.convert()
@@ -79,15 +80,15 @@ def run(spark: SparkSession, job: IngestJob, levels: DataFrame | None = None) ->
     packed = ingest.pack_chunks(ingest.section_state(materialize(pages, "pages")), job.vocabulary, job.chunk_tokens)
     order = W.partitionBy("doc_id").orderBy("page_number", "chunk_index")
     chunks = packed.select(
-        (F.col("doc_id") * T.LINES + F.row_number().over(order) - 1).alias("chunk_id"), "doc_id", F.col("page_number").cast("long").alias("page"),
-        "chunk_index", "section", F.col("markdown").alias("text"), "n_tokens",
+        "doc_id", (F.row_number().over(order) - 1).alias("nth"), F.col("doc_id").cast("string").alias("manual"),
+        F.col("page_number").cast("long").alias("page"), "chunk_index", "section", F.col("markdown").alias("text"), "n_tokens",
     )
-    T.replace_table(chunks, f"{job.output}/chunks")
-    chunks = spark.read.parquet(f"{job.output}/chunks")
-    index = retrieve.index_tokens(chunks)
-    T.replace_table(index, f"{job.output}/tokens")
+    chunks = chunks.select(T.pair_id("doc_id", "nth", T.LINES).alias("chunk_id"), "*").drop("nth")
+    chunks = T.replace_table(chunks, f"{job.output}/chunks")
+    index = T.replace_table(retrieve.index_tokens(chunks, stem=True), f"{job.output}/tokens")
+    T.replace_table(retrieve.term_frequencies(index), f"{job.output}/terms")
     T.replace_table(retrieve.corpus_stats(index), f"{job.output}/corpus_stats")
-    if spark.read.parquet(f"{job.output}/tokens").count() != chunks.count():
+    if index.count() != chunks.count():
         raise ValueError("the index does not have one row per chunk")
     return chunks
 

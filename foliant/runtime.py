@@ -92,6 +92,26 @@ class Scratch:
             drop_path(self.spark, path)
 
 
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """``df`` with dense numbers from 0 in the order of ``by`` as column ``name``, without a global window.
+
+    Rows are range-partitioned and written once; a row's number is its place in its partition plus the rows of the
+    partitions before, of which one count each is needed. Equal keys are numbered in no particular order.
+    """
+    spark = df.sparkSession
+    placed = df.repartitionByRange(F.col(by)).sortWithinPartitions(by).withColumn("_place", F.monotonically_increasing_id())
+    placed = materialize(placed, "numbered")
+    part, inside = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one row a task
+    starts, at = [], 0
+    for p in sorted(counts):
+        starts.append((p, at))
+        at += counts[p]
+    table = spark.createDataFrame(starts or [(-1, 0)], "_part long, _start long")
+    out = placed.join(F.broadcast(table), part == F.col("_part"))
+    return out.withColumn(name, F.col("_start") + inside).drop("_place", "_part", "_start")
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """Hint a broadcast only when a count proves that ``df`` has at most ``max_rows`` rows."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

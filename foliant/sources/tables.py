@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions import fixed_values as V
 
-#: more than the lines of any one document
-LINES = 100_000
+#: more lines than a document, and more turns than a conversation, may have; more of them are an error
+LINES, TURNS = 100_000, 1000
+
+
+def pair_id(a: str, b: str, limit: int) -> Column:
+    """One id for (a, b); a ``b`` outside 0 to limit - 1 would be another pair's id and raises an error."""
+    wrong = F.raise_error(F.concat(F.lit(f"{b} must be 0 to {limit - 1}, not "), F.col(b).cast("string"))).cast("long")
+    return F.when(F.col(b).between(0, limit - 1), F.col(a) * limit + F.col(b)).otherwise(F.when(F.col(b).isNotNull(), wrong))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +28,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, manual, page_number: documents of a source are its manual's pages, numbered by id."""
     number = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
     docs = read(spark, sf_dir, "documents").select("doc_id", "source")
-    return docs.select(F.col("doc_id").alias("page_id"), F.col("source").alias("manual"), number.alias("page_number"))
+    return docs.select(F.col("doc_id").alias("page_id"), F.coalesce("source", F.lit("")).alias("manual"), number.alias("page_number"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +36,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.substring(F.substring_index(F.substring_index("text", "\n", 1), ".", 1), 1, 80)
     lines = read(spark, sf_dir, "documents").select("doc_id", title.alias("section"), F.posexplode(F.split("text", "\n")))
     return lines.where(F.trim("col") != "").select(
-        (F.col("doc_id") * LINES + F.col("pos")).alias("chunk_id"), F.col("doc_id").alias("page_id"),
+        pair_id("doc_id", "pos", LINES).alias("chunk_id"), F.col("doc_id").alias("page_id"),
         F.col("pos").alias("chunk_index"), "section", F.col("col").alias("text"),
     )
 
@@ -48,7 +56,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """question_id, conv_id, question: what users say."""
     said = read(spark, sf_dir, "conversations").where("role = 'user'")
-    return said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "conv_id", F.col("text").alias("question"))
+    return said.select(pair_id("conv_id", "turn", TURNS).alias("question_id"), "conv_id", F.col("text").alias("question"))
 
 
 def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,9 +85,9 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = questions(spark, sf_dir).crossJoin(F.broadcast(n)).select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("position"))
     q = q.withColumn("page_id", (F.col("conv_id") * 7 + F.col("position") * 13) % F.col("n"))
     k = F.col("position")
-    rows = q.join(first_chunks(spark, sf_dir), "page_id").join(pages(spark, sf_dir).select("page_id", "page_number"), "page_id")
+    rows = q.join(first_chunks(spark, sf_dir), "page_id").join(pages(spark, sf_dir), "page_id")
     return rows.select(
-        "question_id", "question", "position", "chunk_id", F.col("page_number").alias("page"), "section", "text",
+        "question_id", "question", "position", "chunk_id", "manual", F.col("page_number").alias("page"), "section", "text",
         F.when(k % 4 != 3, k + 1).alias("vector_rank"), F.when(k % 3 != 2, k + 1).alias("lexical_rank"),
         F.when(k % 4 != 3, F.lit(0.40) + F.lit(0.05) * k + F.lit(0.01) * (F.col("conv_id") % 20)).alias("distance"),
     ).withColumn("score", F.lit(0.03) - F.lit(0.002) * k)
@@ -128,17 +136,78 @@ def image_markdown(images_: DataFrame) -> DataFrame:
     return images_.groupBy("page_id").agg(F.concat(F.lit("#### Manual figures\n\n"), figures).alias("markdown"))
 
 
+def page_map(pages_: DataFrame) -> DataFrame:
+    """(manual, page_number, page_id): what ids the pages of a manual have; a number that is used twice is an error."""
+    same = F.count("*") > 1
+    wrong = F.raise_error(F.concat(F.lit("page number used twice: "), F.col("page_number").cast("string"))).cast("long")
+    return pages_.groupBy("manual", "page_number").agg(F.when(same, wrong).otherwise(F.min("page_id")).alias("page_id"))
+
+
+def images_by_page(images_: DataFrame) -> DataFrame:
+    """(manual, page, images): the images of each page, an array in id order."""
+    row = F.struct("image_id", "asset_path", "thumbnail_path", "caption")
+    return images_.groupBy("manual", "page").agg(F.sort_array(F.collect_list(row)).alias("images"))
+
+
 def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of either table that the other lacks, marked by side; empty when the tables are equal."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside ``path``, then swap, so that readers see the old table or the new one."""
+_POINTER = "_current"
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder that holds the present version of a table; None if it was never written."""
+    jvm, target, fs = _file_system(spark, path)
+    pointer = jvm.org.apache.hadoop.fs.Path(target, _POINTER)
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return f"{path}/{bytes(stream.readAllBytes()).decode()}"
+    finally:
+        stream.close()
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The present version of a table that :func:`replace_table` wrote."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(version)
+
+
+def replace_table(df: DataFrame, path: str) -> DataFrame:
+    """Write a new version of the table at ``path`` and make it the present one; returns it.
+
+    A version is a folder of its own; the pointer file that names the present one is written aside and renamed
+    over the old one in a single step, where the file system can, so readers see the old table or the new one and a
+    crash leaves the old one. The version before stays for readers that have begun; older ones are deleted.
+    Of two writers the later pointer wins, and neither's table is torn.
+    """
     spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, part = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.part"))
-    df.write.mode("overwrite").parquet(f"{path}.part")
-    fs = target.getFileSystem(conf)
-    fs.delete(target, True)
-    fs.rename(part, target)
+    jvm, target, fs = _file_system(spark, path)
+    before = current_version(spark, path)
+    name = f"v-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(f"{path}/{name}")
+    Path = jvm.org.apache.hadoop.fs.Path
+    aside = Path(target, f".{name}.pointer")
+    stream = fs.create(aside, True)
+    stream.write(bytearray(name.encode()))
+    stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(aside), context.makeQualified(Path(target, _POINTER)), options)
+    for status in fs.listStatus(target):
+        other = status.getPath().getName()
+        if other.startswith("v-") and other != name and before is not None and other != before.rpartition("/")[2]:
+            fs.delete(status.getPath(), True)
+    return spark.read.parquet(f"{path}/{name}")
