@@ -3,8 +3,10 @@
 Distinct pre-tokens are rows of matrices, one matrix for each bucket of byte lengths, padded with -1. In
 every round each row merges its leftmost pair of minimum rank; the rank of a pair comes from a hash table
 in numpy arrays, and removing one cell from each row compacts the matrix by one column. Rows without a
-mergeable pair leave it. Only the two pairs beside a merge are looked up again. Pre-tokens of more than
-LONG bytes follow the same rule with a heap, since a row's rounds grow with its length.
+mergeable pair leave it. Only the two pairs beside a merge are looked up again. A pre-token of more than LONG
+bytes is a matrix of its own, one row, whose rounds would grow with its length: a round takes all the merges at
+once that the rule would make one after the other, that is, those of the minimum rank from the left, up to the
+first that brings forth a pair of a lower rank.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,6 @@ class BpeTable:
         self.bits = max(4, (4 * len(pairs)).bit_length())
         size = 1 << self.bits
         self.keys, self.values, self.probes = np.full(size, -1, np.int64), np.full(size, NONE, np.int32), 1
-        self.pairs = pairs
         left = np.array(list(pairs), np.int64)
         values = np.array(list(pairs.values()), np.int32)
         slot = self._slot(left)
@@ -115,25 +115,30 @@ class BpeTable:
             has = at < w - 2
             ranks[r[has], at[has]] = self.rank(m[r[has], at[has]], m[r[has], at[has] + 1])
 
-    def merge_long(self, piece: bytes) -> list[int]:
-        """The same rule over a linked list, with a heap of (rank, position)."""
-        ids: list = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        nxt, prv = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        pair = lambda i: self.pairs.get(ids[i] << 32 | ids[nxt[i]]) if nxt[i] < len(ids) else None
-        heap = [(r, i) for i in range(len(ids) - 1) if (r := pair(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if ids[i] is None or pair(i) != r:
-                continue
-            j = nxt[i]
-            ids[i], ids[j], nxt[i] = r, None, nxt[j]
-            if nxt[j] < len(ids):
-                prv[nxt[j]] = i
-            for k in (prv[i], i):
-                if k >= 0 and (q := pair(k)) is not None:
-                    heapq.heappush(heap, (q, k))
-        return [x for x in ids if x is not None]
+    def merge_row(self, row: np.ndarray) -> np.ndarray:
+        """One long row merged; a round takes as many merges as follow each other by the rule."""
+        ranks = self.rank(row[:-1], row[1:])
+        while len(ranks) and (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            # of occurrences that overlap, every other one from the left
+            turn = np.ones(len(at), bool)
+            turn[1:] = at[1:] != at[:-1] + 1
+            begin = np.maximum.accumulate(np.where(turn, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - begin) % 2 == 0]
+            # what stands beside a merge when its turn comes: on the left perhaps the merge before
+            left, right = row[np.maximum(at - 1, 0)], row[np.minimum(at + 2, len(row) - 1)]
+            left[1:][at[1:] == at[:-1] + 2] = best
+            merged = np.full(len(at), best, row.dtype)
+            new = np.minimum(np.where(at > 0, self.rank(left, merged), NONE), np.where(at + 2 < len(row), self.rank(merged, right), NONE))
+            lower = np.flatnonzero(new < best)
+            at = at[: lower[0] + 1] if len(lower) else at
+            row[at] = best
+            row, ranks = np.delete(row, at + 1), np.delete(ranks, at)
+            place = at - np.arange(len(at))
+            open_ = np.concatenate([place - 1, place])
+            open_ = open_[(open_ >= 0) & (open_ < len(ranks))]
+            ranks[open_] = self.rank(row[open_], row[open_ + 1])
+        return row
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and each word's number of ids."""
@@ -161,9 +166,9 @@ class BpeTable:
                 order.append(who)
             lo = width
         for i in np.flatnonzero(sizes > LONG).tolist():
-            ids = self.merge_long(pieces[i])
+            ids = self.merge_row(self.single[np.frombuffer(pieces[i], np.uint8)])
             lengths[i] = len(ids)
-            parts.append(np.array(ids, np.uint32))
+            parts.append(ids.astype(np.uint32))
             order.append(np.array([i]))
         # put the parts, which are in bucket order, back in word order
         order = np.concatenate(order) if order else np.empty(0, np.int64)

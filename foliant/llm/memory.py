@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.sql import SparkSession
 
 
 @functools.cache
@@ -47,8 +48,11 @@ def lean(run: Callable, column: str | None = None, size: int = 4 << 20) -> Calla
     """``run``, a function for mapInArrow, handing memory back after every batch and at its end.
 
     With ``column`` it sees each batch in slices of about ``size`` bytes of that column (a longer value is a
-    slice of its own), in order, every row once.
+    slice of its own), in order, every row once. Spark is told to send batches of about twice that size, not of
+    ten thousand rows of any length, so neither side holds more.
     """
+    if (spark := SparkSession.getActiveSession()) is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

@@ -8,6 +8,7 @@ borders; no regular expression engine runs.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 
 import numpy as np
@@ -79,20 +80,20 @@ def split(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
 
 
 class WordCache:
-    """Token ids of distinct pre-tokens, kept between batches up to a number of entries.
+    """Token ids of distinct pre-tokens, kept between batches up to a number of entries and of characters of long ones.
 
     Pre-tokens are told apart by two 64-bit hashes and their length; those of over HASHED characters by
     their text.
     """
 
-    HASHED = 200
+    HASHED, LONG_CHARS = 200, 1 << 22
 
-    def __init__(self, encode, limit: int = 1_500_000):
+    def __init__(self, encode, limit: int = 500_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
-        self.index, self.long = SpanIndex(), {}
+        self.index, self.long, self.long_chars = SpanIndex(), {}, 0
         self.flat, self.offsets, self.n = np.empty(1 << 20, np.uint16), np.zeros(1 << 17, np.int64), 0
 
     def _add(self, words: list[str]) -> None:
@@ -110,7 +111,7 @@ class WordCache:
 
     def codes(self, flat: str, points: np.ndarray, borders: np.ndarray) -> np.ndarray:
         """Dense codes of all pre-tokens; those not yet known are encoded together."""
-        if self.n > self.limit:
+        if self.n > self.limit or self.long_chars > self.LONG_CHARS:
             self.clear()
         starts, ends = borders[:-1], borders[1:]
         k1, k2 = span_hashes(points, starts, ends)
@@ -123,6 +124,7 @@ class WordCache:
             self.long.update(zip(new, range(self.n, self.n + len(new))))
             if new:
                 self._add(new)
+                self.long_chars += sum(map(len, new))
             codes[far] = [self.long[w] for w in words]
         near = np.flatnonzero(short)
         got = self.index.find(k1[near], k2[near])
@@ -149,10 +151,34 @@ class WordCache:
         return self.flat[where], before
 
 
-def encode_texts(texts: list[str], cache: WordCache, span: int = 1 << 20):
-    """Yields (index of text, its token ids), processing whole texts in groups of about ``span`` characters."""
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def pieces(text: str, span: int):
+    """A long text in pieces of about ``span`` characters, cut before a lone blank, where a pre-token always begins."""
+    at = 0
+    while len(text) - at > span:
+        cut = _CUT.search(text, at + span)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+def encode_texts(texts: list[str], cache: WordCache, span: int = 1 << 19):
+    """Yields (index of text, its token ids), processing whole texts in groups of about ``span`` characters and longer
+    texts in pieces of that size."""
     i = 0
     while i < len(texts):
+        if len(texts[i]) > 2 * span:
+            parts = []
+            for piece in pieces(texts[i], span):
+                flat, points, borders_, _ = split([piece])
+                parts.append(cache.ids(cache.codes(flat, points, borders_))[0])
+            yield i, np.concatenate(parts)
+            i += 1
+            continue
         j, size = i, 0
         while j < len(texts) and (j == i or size + len(texts[j]) <= span):
             size += len(texts[j])

@@ -2,6 +2,7 @@
 
 A span's hash is a difference of prefix sums of a polynomial, scaled back to position 0, so the cost
 does not depend on how long spans are or how they overlap. Two independent 64-bit hashes identify a span.
+Sums are taken over windows of about WINDOW symbols, so memory does not grow with the array.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ _U = np.uint64
 #: odd bases and their inverses modulo 2**64
 _BASES = [(b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)]
 _powers: list[np.ndarray] = []
+WINDOW = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,20 +24,39 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> list[np.ndarray]:
+    """Powers of the bases and of their inverses; those of up to two windows are kept."""
     global _powers
     if not _powers or len(_powers[0]) < n:
-        size = max(n, (1 << 19) + 2)
-        _powers = []
+        size, made = max(n, WINDOW + 2), []
         for pair in _BASES:
             for base in pair:
                 p = np.full(size, base, _U)
                 p[0] = 1
-                _powers.append(np.cumprod(p, dtype=_U))
+                made.append(np.cumprod(p, dtype=_U))
+        if size > 2 * WINDOW + 2:
+            return made  # one span is that long
+        _powers = made
     return _powers
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, two: bool = True) -> list[np.ndarray]:
     """One or two 64-bit hashes of values[start:end] for every span; equal contents hash alike everywhere."""
+    if len(values) <= WINDOW:
+        return _hashes(values, starts, ends, two)
+    out = [np.empty(len(starts), _U) for _ in range(1 + two)]
+    turns = np.flatnonzero(starts[1:] < starts[:-1]) + 1  # windows move forward; a list may begin again
+    for a, b in zip([0, *turns.tolist()], [*turns.tolist(), len(starts)]):
+        while a < b:
+            lo = int(starts[a])
+            c = a + max(1, int(np.searchsorted(starts[a:b], lo + WINDOW // 2)))
+            hi = int(ends[a:c].max())
+            for o, h in zip(out, _hashes(values[lo:hi], starts[a:c] - lo, ends[a:c] - lo, two)):
+                o[a:c] = h
+            a = c
+    return out
+
+
+def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, two: bool) -> list[np.ndarray]:
     n = len(values)
     powers = _power(n + 1)
     # symbols become 64-bit values; the length tells apart spans that differ by leading symbols only

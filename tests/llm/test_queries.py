@@ -94,11 +94,42 @@ def test_long_pre_tokens_against_tiktoken():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     t = byte_bpe.load(path)
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=t.ranks, special_tokens={})
-    for word in ("ab" * 1500, "x" * 1023, "thequickbrown" * 200, "é" * 900):
+    import random
+
+    rng = random.Random(5)
+    words = ["ab" * 1500, "x" * 1023, "x" * 5001, "thequickbrown" * 200, "é" * 900]
+    words += ["".join(rng.choices(letters, k=n)) for letters in ("ab", "aeinrst", "abcdefghijklmnopqrstuvwxyz", "=-_*#") for n in (1030, 2047, 6000)]
+    for word in words:
         ids, _ = t.encode_words([word])
         assert ids.tolist() == enc.encode_ordinary(word)
 
 
+def test_long_texts_in_pieces():
+    import tiktoken
+    from foliant.llm import byte_bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    t = byte_bpe.load(path)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=t.ranks, special_tokens={})
+    texts = ["it's  so, don't \n\n x " * 40, "word " * 50, "a" * 300, "", " \n " * 99, "é日本 ½ " * 60, "short"]
+    cache = pretoken.WordCache(t.encode_words)
+    for span in (7, 50, 1000):
+        assert [ids.tolist() for _, ids in pretoken.encode_texts(texts, cache, span)] == [enc.encode_ordinary(x) for x in texts]
+        assert ["".join(pretoken.pieces(x, span)) for x in texts] == texts
+
+
+def test_hashes_do_not_depend_on_windows(monkeypatch):
+    from foliant.llm import spans
+
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 50, 5000).astype(np.uint32)
+    starts = np.concatenate([np.sort(rng.integers(0, 4900, 700)), np.sort(rng.integers(0, 4900, 300))])
+    ends = starts + rng.integers(0, 100, 1000)
+    whole = spans.span_hashes(values, starts, ends)
+    monkeypatch.setattr(spans, "WINDOW", 64)
+    assert all((a == b).all() for a, b in zip(whole, spans.span_hashes(values, starts, ends)))
+
+
 def test_wavelet_shards(spark, sf):
     from tokenizers import Tokenizer
 
