@@ -62,13 +62,14 @@ def mark() -> int:
     return len(_written)
 
 
-def drop_tables(spark: SparkSession, since: int = 0) -> None:
-    """Delete what :func:`materialize` has written since ``mark()`` gave ``since``.
+def drop_tables(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Delete what :func:`materialize` has written since ``mark()`` gave ``since``, before it gave ``until``.
 
     Call it when the results that read those tables have been written or collected.
     """
-    while len(_written) > since:
-        drop_path(spark, _written.pop())
+    for path in _written[since:until]:
+        drop_path(spark, path)
+    del _written[since:until]
 
 
 class Scratch:
