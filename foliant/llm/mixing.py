@@ -84,8 +84,10 @@ def _let(value: Column, use) -> Column:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE, seed: int = 9) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, source, rate, copies.
 
-    ``taken`` = copies * size, at most ``max_rate`` times the size; each source's sum of taken comes
-    within the smallest correctable document of its target. Null text has size 0 and is taken 0 times
+    ``taken`` = copies * size, at most ``max_rate`` times the size. Each source's sum of taken comes near its target:
+    cuts leave at most a bin's words over or short, the finer cut takes most of that up, and the last few documents
+    of each class of size (PER_CLASS of them may move) the rest, down to half a small document. A source whose few
+    documents are all long stays as far off as its shortest document is long. Null text has size 0 and is taken 0 times
     a size of 0; null sources form one source, the last. Rows that repeat id and size get equal copies.
     An empty table gives an empty table; a corpus without words has targets of 0. Other columns
     (``rate``, ``copies`` and so on included) are not read.

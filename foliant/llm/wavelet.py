@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.llm.memory import lean
 from foliant.llm.pretoken import WordCache, encode_texts
 from foliant.runtime import fresh_path, materialize
 
@@ -201,11 +202,10 @@ def _writer(tokenizer_path: str, folder: str, shard_tokens: int):
         docs, lengths, ids, size, seq = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
-            # written aside and renamed: a lost or repeated attempt leaves no partial file under the name
-            name = f"{base}/shard-{part:06d}-{seq:04d}.wvm"
-            with fs.open_output_stream(f"{name}.{attempt}") as out:
+            # a name of this attempt: what a lost or repeated attempt leaves is named by no manifest
+            name = f"{base}/shard-{part:06d}-{seq:04d}-{attempt}.wvm"
+            with fs.open_output_stream(name) as out:
                 out.write(build(docs, lengths, np.concatenate(ids)))
-            fs.move(f"{name}.{attempt}", name)
             row = [[part], [seq], [f"{folder}/{os.path.basename(name)}"], [len(docs)], [size]]
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], ["part", "seq", "path", "n_docs", "n_tokens"])
@@ -236,7 +236,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = plain.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32(F.encode("text", "UTF-8")))
-    return materialize(ordered.mapInArrow(_writer(tokenizer_path, folder, shard_tokens), MANIFEST), "manifest")
+    return materialize(ordered.mapInArrow(lean(_writer(tokenizer_path, folder, shard_tokens), "text"), MANIFEST), "manifest")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +265,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
     before = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
     based = manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     based = based.repartition(max(1, min(files, 20_000)))
-    return based.mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.mapInArrow(lean(_reader), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

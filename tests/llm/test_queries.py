@@ -156,6 +156,62 @@ def test_sharding_covers_all_rows(spark, sf):
     assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in texts.items()}
 
 
+@pytest.mark.parametrize("slack", [0.0, 0.25])
+def test_sharding_against_a_walk_of_the_ring(spark, sf, slack):
+    """Key by key: a row sits in its own arc's shard while there is room, then walks clockwise to the next with room."""
+    import bisect
+
+    from foliant.llm import ring_sharding
+
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    frame = frame.select("doc_id", "text").union(frame.limit(40).selectExpr("doc_id + 90000", "'same text for all'"))
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in ring_sharding.assign_shards(frame, slack=slack).collect()}
+    rows = frame.selectExpr("doc_id", "xxhash64(coalesce(text, '')) AS at").collect()
+    nodes, caps, n = ring_sharding.ring(16, 64), [0] * 16, len(rows)
+    for seat in range(int(n * (1 + slack))):
+        caps[seat % 16] += 1
+    order = [place for place, _ in nodes]
+    arcs = sorted((bisect.bisect_left(order, r["at"]) % len(nodes), r["doc_id"], r["at"]) for r in rows)
+    taken, shard, late = [0] * 16, {}, []
+    for arc, doc, _ in arcs:
+        own = nodes[arc][1]
+        if taken[own] < caps[own]:
+            shard[doc] = (own, taken[own])
+            taken[own] += 1
+        else:
+            late.append((arc, doc))
+    for arc, doc in late:
+        while taken[nodes[arc % len(nodes)][1]] >= caps[nodes[arc % len(nodes)][1]]:
+            arc += 1
+        own = nodes[arc % len(nodes)][1]
+        shard[doc] = (own, taken[own])
+        taken[own] += 1
+    assert got == shard
+
+
+def test_mixing_against_a_model_of_targets(spark, sf):
+    """Sizes, targets and the cap of every document of the table, and how near the words come."""
+    import re
+
+    from test_small_cases import water
+
+    rows = table(sf, "SELECT doc_id, text, source FROM documents@")
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+    sources = sorted({s for _, _, s in rows if s is not None}, key=lambda s: s.encode()) + [None] * any(s is None for _, _, s in rows)
+    of = {i: s for i, _, s in rows}
+    sums = [sum(size[i] for i in of if of[i] == s) for s in sources]
+    target = dict(zip(sources, water(sums, [(5, 2, 1)[k % 3] for k in range(len(sources))], 3)))
+    got = catalog.queries()["op9_mixing"](spark, sf).collect()
+    assert {r["doc_id"]: r["size"] for r in got} == size and len(got) == len(rows)
+    taken = collections.Counter()
+    for r in got:
+        assert r["source_size"] == sums[sources.index(of[r["doc_id"]])] and r["target"] == pytest.approx(target[of[r["doc_id"]]])
+        assert r["taken"] in {k * r["size"] for k in range(4)}
+        taken[of[r["doc_id"]]] += r["taken"]
+    for s in sources:  # 200 documents can be cut no finer
+        assert abs(taken[s] - target[s]) <= 0.02 * target[s] + 20
+
+
 def test_licences_against_a_loop(spark, sf):
     from test_small_cases import assert_like_the_model
 

@@ -131,6 +131,60 @@ def test_jaccard(docs, none):
     assert jaccard.keep_one(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("block_rows", [4096, 3, 1])
+def test_jaccard_of_repeated_ids_and_long_lists(spark, block_rows):
+    """Rows that repeat an id with other texts are nodes of their own; lists in units give the same links."""
+    from test_queries import brute_components
+
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join(base[:i] + ["x"] * (i % 3) + base[i:]) for i in range(0, 60, 4)]
+    chain = [" ".join(f"c{j}" for j in range(i * 4, i * 4 + 60)) for i in range(12)]
+    texts = [*near, *chain, "quite another text of seven words here", "a b c d e f g h"]
+    rows = [(10 + i, t) for i, t in enumerate(texts)]
+    want = brute_components(rows, 3, 60)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similarity_components(frame, 3, 60, block_rows).collect()}
+    assert got == want
+    # (1, b), (1, a), (2, a and one word more): ids 1 and 2 link, b stays apart
+    a, b = " ".join(base), "entirely different words for the other row with this id"
+    odd = spark.createDataFrame([(1, b), (1, a), (2, a + " more"), (5, a + " end"), (5, "a text that only row five has at all")], "doc_id long, text string")
+    parts = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.similarity_components(odd, block_rows=block_rows).collect())
+    assert parts == [(1, 8, 1), (1, 58, 1), (2, 59, 1), (5, 7, 5), (5, 59, 1)]
+    kept = sorted((r["doc_id"], r["text"]) for r in jaccard.keep_one(odd, 3, 90).collect())
+    assert kept == sorted([(1, b), (1, a), (5, "a text that only row five has at all")])
+
+
+def test_pipeline_of_odd_rows(spark, docs, none, tmp_path):
+    """Every stage: nulls, empty and long texts, repeated rows, clashing columns, an empty table."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)] + [(None, 1, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        texts = {r["text"] for r in out.select("text").collect()}
+        assert texts <= {r["text"] for r in docs.select("text").collect()}, name
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
+    rows = corpus_pipeline.encode(spark, docs, str(tmp_path)).collect()
+    assert len(rows) == docs.count() and corpus_pipeline.encode(spark, none, str(tmp_path)).count() == 0
+    kept = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_copies(spark, docs, ""), "").collect()
+    assert len([r for r in kept if r["text"] == LONG]) == 1 and len([r for r in kept if not (r["text"] or "").strip()]) == 2
+
+
+def test_quality_ties_and_repeated_ids(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    rows = quality.classify(docs, labels).collect()
+    tie = rows[4]["score"]
+    again = quality.classify(docs, labels, threshold=tie).collect()
+    assert {(r["score"], r["predicted"]) for r in again} == {(r["score"], int(r["score"] >= tie)) for r in rows}
+    assert {r["text"] for r in quality.keep_good(docs, labels, tie).collect()} >= {r["text"] for r in docs.collect() if r["doc_id"] == rows[4]["doc_id"]}
+    # an id that a million rows repeat is one row of training; a small bound leaves the prior
+    many = docs.unionByName(docs.where("doc_id = 3")).unionByName(docs.where("doc_id = 3").withColumn("text", F.lit("zzz")))
+    assert quality.fit(many, labels).weights.shape == (quality.BUCKETS,)
+    assert not quality.fit(docs, labels, max_features=-1).weights.any()
+
+
 def test_jaccard_of_short_texts_alone(spark):
     import pyarrow as pa
 
