@@ -27,7 +27,7 @@ def _power(n: int) -> list[np.ndarray]:
     """Powers of the bases and of their inverses; those of up to two windows are kept."""
     global _powers
     if not _powers or len(_powers[0]) < n:
-        size, made = max(n, WINDOW + 2), []
+        size, made = max(n, WINDOW + WINDOW // 8 + 2), []
         for pair in _BASES:
             for base in pair:
                 p = np.full(size, base, _U)
@@ -41,18 +41,18 @@ def _power(n: int) -> list[np.ndarray]:
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, two: bool = True) -> list[np.ndarray]:
     """One or two 64-bit hashes of values[start:end] for every span; equal contents hash alike everywhere."""
-    if len(values) <= WINDOW:
+    if len(values) <= WINDOW + WINDOW // 8:
         return _hashes(values, starts, ends, two)
     out = [np.empty(len(starts), _U) for _ in range(1 + two)]
-    turns = np.flatnonzero(starts[1:] < starts[:-1]) + 1  # windows move forward; a list may begin again
-    for a, b in zip([0, *turns.tolist()], [*turns.tolist(), len(starts)]):
-        while a < b:
-            lo = int(starts[a])
-            c = a + max(1, int(np.searchsorted(starts[a:b], lo + WINDOW // 2)))
-            hi = int(ends[a:c].max())
-            for o, h in zip(out, _hashes(values[lo:hi], starts[a:c] - lo, ends[a:c] - lo, two)):
-                o[a:c] = h
-            a = c
+    order = np.argsort(starts, kind="stable")
+    starts, ends, a = starts[order], ends[order], 0
+    while a < len(starts):
+        lo = int(starts[a])
+        c = a + max(1, int(np.searchsorted(starts[a:], lo + WINDOW // 2)))
+        hi = int(ends[a:c].max())
+        for o, h in zip(out, _hashes(values[lo:hi], starts[a:c] - lo, ends[a:c] - lo, two)):
+            o[order[a:c]] = h
+        a = c
     return out
 
 
