@@ -182,18 +182,29 @@ def sentence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN regexp_matches(lower(question), '\\b(how|check|checking|inspect|inspection|verify|test)\\b')
     AND regexp_matches(lower(section), '\\b(check|checking|inspection|inspecting|procedure|testing)\\b') THEN 16 ELSE 0 END AS procedural
 FROM (SELECT *, regexp_replace(lower(question), '\\s+', ' ', 'g') AS q, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t
-  FROM {_values(fx.ALIGNMENT, 'id, question, section, text')})""")
+  FROM (SELECT * FROM {_values(fx.ALIGNMENT, 'id, question, section, text')} UNION ALL
+    SELECT -1 - c_custkey, c_comment_, 'How to check ' || c_mktsegment, 'It lights up, then ' || c_comment_ FROM (SELECT c_custkey, c_mktsegment, CASE c_custkey % 4 WHEN 0 THEN 'is it on' WHEN 1 THEN 'how to test' WHEN 2 THEN 'it blinks' ELSE 'other' END || ' ' || c_name AS c_comment_ FROM customer)))""")
 def state_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(fx.ALIGNMENT, "id int, question string, section string, text string")
+    k = F.col("c_custkey") % 4
+    said = F.concat(F.when(k == 0, "is it on").when(k == 1, "how to test").when(k == 2, "it blinks").otherwise("other"), F.lit(" "), "c_name")
+    more = T.read(spark, sf_dir, "customer").select(
+        (-1 - F.col("c_custkey")).alias("id"), said.alias("question"), F.concat(F.lit("How to check "), "c_mktsegment").alias("section"), F.concat(F.lit("It lights up, then "), said).alias("text"),
+    )
+    rows = rows.unionByName(more)
     return rows.select("id", X.state_score("question", "text").alias("state"), X.procedural_score("question", "section").alias("procedural"))
 
 
 @_register("usable_summaries", f"""SELECT id, a IS NOT NULL AND t <> '' AND NOT (NOT contains(t, chr(10)) AND regexp_matches(lower(t), '\\b(sorry|unable|cannot|can''t|couldn''t|do not know|don''t know|no information)\\b'))
   AND NOT (contains(lower(t), 'example facts:') OR contains(lower(t), 'example answer:') OR contains(lower(t), 'question:') OR contains(lower(t), 'manual facts:'))
   AND len(regexp_split_to_array(t, '\\s+')) BETWEEN 8 AND 120 AND regexp_matches(t, '(?s)^.*[.!?](?:\\s*\\[p\\. \\d+\\])*$') AS usable
-FROM (SELECT *, trim(coalesce(a, ''), ' ' || chr(10) || chr(9)) AS t FROM {_values(fx.SUMMARIES, 'id, a')})""")
+FROM (SELECT *, trim(coalesce(a, ''), ' ' || chr(10) || chr(9) || chr(13)) AS t FROM (
+  SELECT * FROM {_values(fx.SUMMARIES, 'id, a')} UNION ALL SELECT 1000 + doc_id, l[1] FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))""")
 def usable_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(fx.SUMMARIES, "id int, a string").select("id", X.is_usable_summary("a").alias("usable"))
+    """In-line answers, and the first line of every document as if a model had said it."""
+    said = T.read(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), F.get(F.split("text", "\n"), F.lit(0)).alias("a"))
+    rows = spark.createDataFrame(fx.SUMMARIES, "id long, a string").unionByName(said)
+    return rows.select("id", X.is_usable_summary("a").alias("usable"))
 
 
 @_register("transcript_normalize")
@@ -413,11 +424,14 @@ def reference_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Answers ------------------------------------------------------------------------------------------------------
 
-@_register("format_answer", f"""WITH {_EVIDENCE}, d AS (SELECT * FROM evidence QUALIFY row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY position) = 1),
+_FORMATTED = f"""d AS (SELECT * FROM evidence QUALIFY row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY position) = 1),
 b AS (SELECT *, trim(regexp_replace(text, '[\\t ]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM d), k AS (
-  SELECT *, coalesce(lag(lower(section)) OVER (PARTITION BY question_id ORDER BY position), '') AS prev FROM b WHERE trim(body) <> '')
-SELECT question_id, trim(string_agg(CASE WHEN lower(section) <> prev THEN CASE WHEN trim(section) = '' THEN 'Owner''s manual' ELSE section END || chr(10) ELSE '' END
-  || '[p. ' || page || ']' || chr(10) || body, chr(10) || chr(10) ORDER BY position), ' ' || chr(10)) AS answer FROM k GROUP BY question_id""")
+  SELECT *, coalesce(lag(lower(section)) OVER (PARTITION BY question_id ORDER BY position), '') AS prev FROM b WHERE trim(body) <> ''
+), formatted AS (SELECT question_id, trim(string_agg(CASE WHEN lower(section) <> prev THEN CASE WHEN trim(section) = '' THEN 'Owner''s manual' ELSE section END || chr(10) ELSE '' END
+  || '[p. ' || page || ']' || chr(10) || body, chr(10) || chr(10) ORDER BY position), ' ' || chr(10)) AS answer FROM k GROUP BY question_id)"""
+
+
+@_register("format_answer", f"WITH {_EVIDENCE}, {_FORMATTED} SELECT * FROM formatted")
 def format_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.format_answer(T.evidence(spark, sf_dir))
 
@@ -428,7 +442,30 @@ def summary_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.summary_context(rows, route.select_target(rows))
 
 
-@_register("answer_validation")
+def _numbers(c: str) -> str:
+    """Numbers not after a letter; RE2 has no look-behind, so a letter takes the digit behind it away."""
+    return f"list_distinct(list_transform(regexp_extract_all(regexp_replace({c}, '([A-Za-z])[0-9]', '\\1 ', 'g'), '\\d+(?:[.,]\\d+)?'), lambda n: replace(n, ',', '.')))"
+
+
+def _cited(c: str) -> str:
+    return f"list_distinct(list_transform(regexp_extract_all({c}, '(?i)\\[p\\.\\s*(\\d+)]', 1), lambda p: CAST(p AS BIGINT)))"
+
+
+_KNOWN = f"array_to_string(list_transform({_cited('s')}, lambda p: coalesce(list_transform(list_filter(texts, lambda x: x.p = p), lambda x: x.t)[1], '')), '')"
+_COLOURS = "list_transform(regexp_extract_all(s, '(?i)\\b(red|yellow|orange|green|white|blue)\\b'), lambda c: lower(c))"
+
+
+@_register("answer_validation", f"""WITH {_EVIDENCE}, {_FORMATTED}, said AS (
+  SELECT * FROM {_values(fx.ANSWERS, 'question_id, answer')} UNION ALL SELECT question_id, answer FROM formatted
+), seen AS (SELECT question_id, position, page, section, text FROM evidence UNION ALL SELECT * FROM {_values(fx.ANSWER_EVIDENCE, 'question_id, position, page, section, text')}
+), by_page AS (SELECT question_id, page, string_agg(section || ' ' || text || ' ', '' ORDER BY position) AS t FROM seen GROUP BY ALL
+), facts AS (SELECT question_id, list(page) AS pages, string_agg(t, '') AS every, list({{'p': page, 't': lower(t)}}) AS texts FROM by_page GROUP BY question_id
+), c AS (SELECT *, trim(coalesce(answer, ''), ' ' || chr(9) || chr(10) || chr(13)) AS plain, {_cited('answer')} AS cited FROM said LEFT JOIN facts USING (question_id))
+SELECT CASE WHEN answer IS NOT NULL THEN sha256(answer) END AS answer_sha256, coalesce(plain <> '' AND NOT contains(answer, '{V.ABSTENTION.replace("'", "''")}')
+  AND len(regexp_split_to_array(plain, '\\s+')) <= {V.ANSWER_WORDS} AND len(cited) > 0 AND len(list_filter(cited, lambda p: NOT list_contains(pages, p))) = 0
+  AND len(list_filter({_numbers("regexp_replace(answer, '(?i)\\[p\\.\\s*(\\d+)]', '', 'g')")}, lambda n: NOT list_contains({_numbers('every')}, n))) = 0
+  AND len(list_filter(regexp_split_to_array(answer, '\\n+'), lambda s: {_KNOWN} <> '' AND len(list_filter({_COLOURS}, lambda k: NOT contains({_KNOWN}, k))) > 0)) = 0, false) AS valid,
+  question_id FROM c""")
 def answer_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In-line answers against in-line evidence, and every formatted answer against its own evidence."""
     answers, evidence = fx.answers_and_evidence(spark)
@@ -478,16 +515,52 @@ def figure_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Ingestion, metrics, checks -----------------------------------------------------------------------------------
 
-@_register("page_marker_parse", f"""WITH d AS {_values(fx.MARKED, 'doc_id, text')}, l AS (SELECT doc_id, i, (string_split(text, chr(10)))[i] AS line FROM d, unnest(generate_series(1, len(string_split(text, chr(10))))) u(i)),
+@_register("page_marker_parse", f"""WITH d AS (SELECT * FROM {_values(fx.MARKED, 'doc_id, text')} UNION ALL
+  SELECT 1000 + doc_id, '<!-- atlas-page: 1 -->' || chr(10) || regexp_replace(text, '\\n', chr(10) || '<!-- atlas-page: 2 -->' || chr(10)) FROM documents), l AS (SELECT doc_id, i, (string_split(text, chr(10)))[i] AS line FROM d, unnest(generate_series(1, len(string_split(text, chr(10))))) u(i)),
 m AS (SELECT *, CAST(nullif(regexp_extract(line, '^<!-- atlas-page: (\\d+) -->$', 1), '') AS INTEGER) AS mark FROM l),
 p AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS page_number FROM m)
 SELECT doc_id, page_number, trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (mark IS NULL AND NOT regexp_matches(line, '^# Page \\d+\\s*$')), ''), ' ' || chr(10)) AS markdown
 FROM p WHERE page_number IS NOT NULL GROUP BY ALL""")
 def page_marker_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.parse_page_markdown(spark.createDataFrame(fx.MARKED, "doc_id long, text string"))
-
-
-@_register("section_state")
+    """In-line documents with markers, and every document of the table as two pages, its first line and the rest."""
+    text = F.regexp_replace("text", r"\A([^\n]*)\n", "$1\n<!-- atlas-page: 2 -->\n")
+    docs = T.read(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("doc_id"), F.concat(F.lit("<!-- atlas-page: 1 -->\n"), text).alias("text"))
+    return T.parse_page_markdown(spark.createDataFrame(fx.MARKED, "doc_id long, text string").unionByName(docs))
+
+
+_CTRL = " || ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32))
+_CALLS = ", ".join(f"'{c}'" for c in V.CALLOUTS)
+_HEAD = V.HEADING.replace("'", "''")
+
+
+@_register("section_state", f"""WITH pages AS (
+  SELECT doc_id, 1 AS page_number, '### ' || substr(l[1], 1, 40) || chr(10) || chr(10) || array_to_string(l, chr(10) || chr(10)) AS markdown
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) UNION ALL SELECT * FROM {_values(fx.PAGES, 'doc_id, page_number, markdown')}
+), raws AS (SELECT doc_id, page_number, regexp_split_to_array(markdown, '\\n\\s*\\n') AS r FROM pages
+), b AS (SELECT doc_id, page_number, i - 1 AS idx, r[i] AS raw, trim(r[i], {_CTRL}) AS block FROM raws, unnest(generate_series(1, len(r))) u(i)
+), t AS (SELECT *, length(regexp_extract(block, '{_HEAD}', 1)) AS hashes, regexp_extract(block, '{_HEAD}', 2) AS title FROM b WHERE block <> ''
+), n AS (SELECT *, CASE WHEN hashes > 0 THEN trim(regexp_replace(lower(nfc_normalize(title)), '[^a-z0-9]+', ' ', 'g'), ' ') END AS norm,
+  trim(regexp_replace(block, '\\s+', ' ', 'g'), ' ') AS line FROM t
+), p AS (SELECT *, lead(norm) OVER w AS next_norm, lead(hashes) OVER w AS next_hashes FROM n WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY idx)
+), h AS (SELECT doc_id, page_number, idx, title AS led FROM (
+  SELECT *, lead(norm) OVER (PARTITION BY doc_id ORDER BY page_number, idx) AS after FROM p WHERE hashes > 0 AND norm <> '{V.FIGURES_HEADING}')
+  WHERE after = '{V.INTRODUCTION_HEADING}' AND norm NOT IN ({_CALLS}) AND NOT starts_with(norm, '{V.QUALIFIER_PREFIX}')
+), q AS (SELECT p.*, coalesce(led, CASE WHEN hashes = 2 AND next_hashes = 2 AND next_norm <> '{V.FIGURES_HEADING}' THEN title
+  WHEN hashes = 0 AND next_norm = '{V.INTRODUCTION_HEADING}' AND NOT contains(raw, chr(10)) AND len(string_split(line, ' ')) <= 6 AND length(line) BETWEEN 4 AND 60
+    AND regexp_matches(line, '\\p{{Lu}}') AND NOT regexp_matches(line, '[.!?;:,⇒]') THEN line END) AS parent
+  FROM p LEFT JOIN h ON p.doc_id = h.doc_id AND p.page_number = h.page_number AND p.idx = h.idx
+), k AS (SELECT *, CASE WHEN hashes = 0 THEN CASE WHEN coalesce(parent, '') <> '' THEN 'parent' ELSE 'body' END WHEN norm = '{V.FIGURES_HEADING}' THEN 'figures'
+  WHEN coalesce(parent, '') <> '' THEN 'parent' WHEN norm = '{V.INTRODUCTION_HEADING}' THEN 'topic' WHEN norm IN ({_CALLS}) THEN 'callout'
+  WHEN starts_with(norm, '{V.QUALIFIER_PREFIX}') THEN 'qualifier' ELSE 'topic' END AS kind FROM q
+), c AS (SELECT *, last_value(CASE WHEN kind = 'parent' THEN parent END IGNORE NULLS) OVER d AS chapter_,
+  last_value(CASE kind WHEN 'parent' THEN '' WHEN 'topic' THEN title END IGNORE NULLS) OVER d AS topic_,
+  last_value(CASE WHEN kind IN ('parent', 'figures', 'topic') THEN '' WHEN kind = 'qualifier' THEN title END IGNORE NULLS) OVER g AS qualifier_,
+  last_value(CASE WHEN kind IN ('parent', 'figures', 'topic') THEN '' WHEN kind = 'callout' THEN title END IGNORE NULLS) OVER g AS callout_,
+  last_value(CASE WHEN kind = 'figures' THEN true WHEN kind <> 'body' THEN false END IGNORE NULLS) OVER g AS figures_
+  FROM k WINDOW d AS (PARTITION BY doc_id ORDER BY page_number, idx ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY doc_id, page_number ORDER BY idx ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, CAST(page_number AS INTEGER) AS page_number, CAST(idx AS INTEGER) AS idx, coalesce(chapter_, '') AS chapter, coalesce(topic_, '') AS topic,
+  CASE WHEN coalesce(figures_, false) THEN '{V.FIGURES_QUALIFIER}' WHEN coalesce(callout_, '') <> '' THEN callout_ ELSE coalesce(qualifier_, '') END AS qualifier,
+  CAST(length(block) AS INTEGER) AS chars FROM c WHERE kind = 'body'""")
 def section_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = fx.headed_pages(spark, sf_dir).unionByName(spark.createDataFrame(fx.PAGES, "doc_id long, page_number int, markdown string"))
     return ingest.section_state(pages).where("kind = 'body'").select("doc_id", "page_number", "idx", "chapter", "topic", "qualifier", F.length("body").alias("chars"))

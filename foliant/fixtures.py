@@ -75,15 +75,17 @@ def reference_manual(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return context, chunks
 
 
+ANSWER_EVIDENCE = [(q, 0, 12, "Coolant", "The red lamp lights at 110,5 degrees. Add 2 liters.") for q in range(-9, 0)]
+ANSWERS = [
+    (-1, "The red lamp lights at 110.5 degrees. [p. 12]"), (-2, "The red lamp lights at 120 degrees. [p. 12]"), (-3, "The green lamp lights. [p. 12]"),
+    (-4, "The red lamp lights. [p. 13]"), (-5, "The red lamp lights."), (-6, ""), (-7, None), (-8, "It is blue.\nAdd 2 liters. [p. 12]"), (-9, "word " * 221 + "[p. 12]"),
+]
+
+
 def answers_and_evidence(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    evidence = [(q, 0, 12, "Coolant", "The red lamp lights at 110,5 degrees. Add 2 liters.") for q in range(-9, 0)]
-    answers = [
-        (-1, "The red lamp lights at 110.5 degrees. [p. 12]"), (-2, "The red lamp lights at 120 degrees. [p. 12]"), (-3, "The green lamp lights. [p. 12]"),
-        (-4, "The red lamp lights. [p. 13]"), (-5, "The red lamp lights."), (-6, ""), (-7, None), (-8, "It is blue.\nAdd 2 liters. [p. 12]"), (-9, "word " * 221 + "[p. 12]"),
-    ]
     return (
-        spark.createDataFrame(answers, "question_id long, answer string"),
-        spark.createDataFrame(evidence, "question_id long, position int, page long, section string, text string"),
+        spark.createDataFrame(ANSWERS, "question_id long, answer string"),
+        spark.createDataFrame(ANSWER_EVIDENCE, "question_id long, position int, page long, section string, text string"),
     )
 
 
