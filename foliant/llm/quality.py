@@ -136,7 +136,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) ->
     if not len(labels):
         return Model(np.zeros(BUCKETS), 0.0)
     prior = np.clip(labels.mean(), 0.01, 0.99)
-    table = rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32) / DIM
+    table = np.ascontiguousarray(rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32).T / DIM)  # one row a dimension
     layer = rng.uniform(-1, 1, (2, DIM)).astype(np.float32)
     bias = np.array([np.log(1 - prior), np.log(prior)], np.float32)
     steps, done = EPOCHS * -(-len(labels) // BATCH), 0
@@ -150,9 +150,8 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) ->
             doc = np.repeat(np.arange(len(pick)), [len(features[i][0]) for i in pick])
             share = np.concatenate([features[i][1] / max(features[i][1].sum(), 1) for i in pick]).astype(np.float32)
             mean = np.zeros((len(pick), DIM), np.float32)
-            vectors = table[ids] * share[:, None]
             for d in range(DIM):
-                mean[:, d] = np.bincount(doc, vectors[:, d], len(pick))
+                mean[:, d] = np.bincount(doc, table[d][ids] * share, len(pick))
             logits = mean @ layer.T + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -160,8 +159,10 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) ->
             grad = p @ layer
             layer -= rate * 0.02 * (p.T @ mean)
             bias -= 0.02 * p.mean(0)
-            np.add.at(table, ids, -rate * share[:, None] * grad[doc])
-    return Model(table @ (layer[1] - layer[0]), bias[1] - bias[0])
+            step = np.float32(-rate) * share
+            for d in range(DIM):
+                np.add.at(table[d], ids, step * grad[doc, d])
+    return Model((layer[1] - layer[0]) @ table, bias[1] - bias[0])
 
 
 def held_out() -> Column:
