@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.graph import connected_components, merged_labels
-from foliant.runtime import Scratch, broadcast_if_small, fresh_path, materialize
+from foliant.runtime import Scratch, broadcast_if_small, drop_path, fresh_path, materialize
 
 THRESHOLD, SHARD_ROWS, M, EF, BLOCK, AUDIT, NEAREST, RECALL = 0.98, 8192, 20, 96, 256, 128, 10, 0.99
 #: what single precision may be off
@@ -407,8 +407,9 @@ def near_duplicates(
         "shard", F.pmod(F.xxhash64("embedding"), F.col("n_shards")).cast("int")
     )
     kind = dict(classes.dtypes)["label"]
+    folder = fresh_path(spark, "graphs")
     built = dealt.select("label", "dim", "shard", "n_shards", "cid", "copies", "embedding").groupBy("label", "dim", "shard").applyInPandas(
-        _build(threshold, recall, fresh_path(spark, "graphs")), f"{TASK_SCHEMA}, label {kind}, dim int, shard int"
+        _build(threshold, recall, folder), f"{TASK_SCHEMA}, label {kind}, dim int, shard int"
     )
     built = scratch.keep(built, "built")
     found, audits = built.drop("shard"), built.where("cid is null")
@@ -437,6 +438,7 @@ def near_duplicates(
         "least", "recall", "scanned",
     ), "solved")
     scratch.drop()
+    drop_path(spark, folder)
     on = F.col("able") & (F.col("label") == F.col("c_label")) & (F.col("embedding") == F.col("c_embedding"))
     component = F.coalesce("least", "vec_id")
     return rows.join(solved, on, "left").select(
