@@ -54,7 +54,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (u, v)], ["u", "v"])
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch | None = None) -> DataFrame:
     """``(node, component_id)`` for every node of an edge with two different ends.
 
     ``component_id`` is the smallest node of the component. Each partition first contracts its own edges
@@ -62,9 +62,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     number of rounds growing with the logarithm of a component's diameter in forests. Three aggregate
     numbers a round, taken while the round's edges are written, reach the driver. A hub with many edges is
     one key of a plain join, which adaptive execution splits.
-    Null ends and self loops are ignored; repeated edges count once; no edges give no rows.
+    Null ends and self loops are ignored; repeated edges count once; no edges give no rows. The result reads a table
+    that ``scratch``, if given, drops.
     """
-    scratch = Scratch(edges.sparkSession)
+    scratch = scratch or Scratch(edges.sparkSession)
 
     def written(e: DataFrame) -> tuple[DataFrame, tuple]:
         o = Observation()

@@ -37,7 +37,7 @@ from foliant.llm.sieve import sift, without
 from foliant.llm.spans import mix, span_hashes
 from foliant.runtime import Scratch, materialize
 
-SHINGLE_WORDS, PERCENT, SLICE, LEADER_ROUNDS, SPAN = 3, 90, 1 << 14, 2, 1 << 19
+SHINGLE_WORDS, PERCENT, SLICE, LEADER_ROUNDS, SPAN = 3, 90, 1 << 14, 3, 1 << 19
 #: shingles of the corpus to a frequency cell; cells are a power of two within these bounds (8 bytes each)
 CELL_LOAD, MIN_CELL_BITS, MAX_CELL_BITS = 64, 16, 22
 PARITIES = 512
@@ -383,35 +383,28 @@ def _compare(scratch: Scratch, pairs: DataFrame, n: int, docs: DataFrame, classe
 
 
 def _states(scratch: Scratch, compared: DataFrame) -> DataFrame:
-    """(id, comp, leader, dist, linked) of all compared classes.
+    """(id, comp, leader, dist) of all compared classes.
 
-    Classes of one label ``comp`` are connected: it is what two doublings of the steps to the smallest linked
-    class lead to. ``leader`` is the nearest class that they were compared with as a leader, ``dist`` the
-    number of members in which the two differ.
+    ``comp`` labels the component of what is linked so far. ``leader`` is the nearest class that they were compared
+    with as a leader, ``dist`` the number of members in which the two differ.
     """
     apart = F.col("na") + F.col("nb") - 2 * F.col("overlap")
     ends = F.array(
-        F.struct(F.col("b").alias("id"), F.col("a").alias("other"), F.struct(apart.alias("dist"), F.col("a").alias("leader")).alias("best")),
-        F.struct(F.col("a").alias("id"), F.col("b").alias("other"), F.struct(F.lit(0).cast("long").alias("dist"), F.col("a").alias("leader")).alias("best")),
+        F.struct(F.col("b").alias("id"), F.struct(apart.alias("dist"), F.col("a").alias("leader")).alias("best")),
+        F.struct(F.col("a").alias("id"), F.struct(F.lit(0).cast("long").alias("dist"), F.col("a").alias("leader")).alias("best")),
     )
-    rows = compared.select("linked", F.explode(ends).alias("e")).select("linked", "e.*")
-    state = rows.groupBy("id").agg(F.min(F.when(F.col("linked"), F.col("other"))).alias("p"), F.min("best").alias("best"), F.max("linked").alias("linked"))
-    state = scratch.keep(state.select("id", F.least("id", "p").alias("comp"), "best.leader", "best.dist", "linked"), "steps")
-    jumped = state
-    for _ in range(2):
-        to = jumped.select(F.col("id").alias("t_id"), F.col("comp").alias("t_comp"))
-        jumped = jumped.join(to, F.col("comp") == F.col("t_id"), "left").withColumn("comp", F.least("comp", "t_comp")).drop("t_id", "t_comp")
-    out = scratch.keep(jumped, "states")
-    scratch.drop(state)
-    return out
+    best = compared.select(F.explode(ends).alias("e")).groupBy("e.id").agg(F.min("e.best").alias("best"))
+    parts = connected_components(compared.where("linked"), "a", "b", scratch)
+    state = best.join(parts, F.col("id") == F.col("node"), "left")
+    return scratch.keep(state.select("id", F.coalesce("component_id", "id").alias("comp"), "best.leader", "best.dist"), "states")
 
 
 def _placed(lists: DataFrame, states: DataFrame | None) -> DataFrame:
     """List entries with label, leader and distance; a class that was not compared is its own label."""
     if states is None:
-        return lists.withColumns({"comp": F.col("id"), "leader": F.lit(-1).cast("long"), "dist": F.lit(0).cast("long"), "linked": F.lit(False)})
+        return lists.withColumns({"comp": F.col("id"), "leader": F.lit(-1).cast("long"), "dist": F.lit(0).cast("long")})
     return lists.join(states, "id", "left").withColumns({
-        "comp": F.coalesce("comp", "id"), "leader": F.coalesce("leader", F.lit(-1)), "dist": F.coalesce("dist", F.lit(0)), "linked": F.coalesce("linked", F.lit(False)),
+        "comp": F.coalesce("comp", "id"), "leader": F.coalesce("leader", F.lit(-1)), "dist": F.coalesce("dist", F.lit(0)),
     })
 
 
@@ -421,14 +414,17 @@ def _enough(percent: int) -> Column:
     return F.col("shared") >= _needed(F.col("na"), F.col("nb"), percent) - rest
 
 
-def _leader_pairs(lists: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Each list's sets against the list's leader: the set in which the token comes first.
+def _leader_pairs(placed: DataFrame, bits: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each list's sets of other labels than the leader's, against one leader of the list.
 
-    It has the fewest rare members, as the text has that others were made from.
+    The first leader is the set in which the token comes first: it has the fewest rare members, as the text
+    has that others were made from. Later leaders are drawn by a hash, mostly from the largest label, so that what
+    has stayed apart from it is compared with ever other members of it, and labels meet.
     """
-    lead = lists.groupBy("token").agg(F.min_by(F.struct("id", "n"), F.struct("pos", F.xxhash64("id"))).alias("l"))
+    key = F.struct("pos" if turn == 0 else F.lit(0), F.xxhash64("id", F.lit(turn)))
+    lead = placed.groupBy("token").agg(F.min_by(F.struct("id", "n", "comp"), key).alias("l"))
     fits = (F.col("n") * percent <= F.col("l.n") * 100) & (F.col("l.n") * percent <= F.col("n") * 100)
-    pairs = lists.join(lead, "token").where((F.col("id") != F.col("l.id")) & fits)
+    pairs = placed.join(lead, "token").where((F.col("comp") != F.col("l.comp")) & fits)
     pairs = pairs.select(F.col("l.id").alias("a"), F.col("id").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb"))
     pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(_enough(percent))
     pairs = pairs.join(bits.select(F.col("cid").alias("a"), F.col("bits").alias("bits_a")), "a")
@@ -504,9 +500,8 @@ def _answers(docs: DataFrame, k: int, percent: int, block_rows: int = BLOCK_ROWS
     order.unpersist()
 
     compared, states = None, None
-    for _ in range(LEADER_ROUNDS):
-        loose = _placed(lists, states).where("not linked").select("token", "id", "n", "pos")
-        pairs = _leader_pairs(loose, classes, percent)
+    for turn in range(LEADER_ROUNDS):
+        pairs = _leader_pairs(_placed(lists, states), classes, turn, percent)
         if compared is not None:
             pairs = pairs.join(compared.select("a", "b").union(compared.select("b", "a")), ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, "leaders")
@@ -531,7 +526,7 @@ def _answers(docs: DataFrame, k: int, percent: int, block_rows: int = BLOCK_ROWS
     every = links[0]
     for x in links[1:]:
         every = every.union(x)
-    parts = connected_components(every, "a", "b")
+    parts = connected_components(every, "a", "b", scratch)
 
     named = classes.select("fp1", "fp2", "n", "rep_id", "cid").join(parts, F.col("cid") == F.col("node"), "left")
     named = scratch.keep(named.select("fp1", "fp2", "n", "rep_id", "cid", F.coalesce("component_id", "cid").alias("comp")), "named")
