@@ -591,12 +591,14 @@ def mean_pool_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("label", (F.col("p") + 1).cast("long").alias("dim"), F.round("value", 6).alias("value"))
 
 
-@_register("pooled_windows")
+@_register("pooled_windows", """WITH p AS (SELECT vec_id, i, (CAST(embedding[i] AS DOUBLE) + CAST(embedding[i + 16] AS DOUBLE) + CAST(embedding[i + 32] AS DOUBLE)) / 3 AS v FROM embeddings, unnest(generate_series(1, 16)) u(i)),
+n AS (SELECT vec_id, sqrt(greatest(sum(v * v), 1e-12)) AS norm FROM p GROUP BY vec_id) SELECT vec_id, i AS dim, round(v / norm, 6) AS value FROM p JOIN n USING (vec_id)""")
 def pooled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked mean of each vector's four 16-wide parts, as a model's token outputs would be pooled."""
     e = T.read(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(1), F.lit(49), F.lit(16)), lambda i: F.slice(F.col("embedding"), i, F.lit(16)).cast("array<double>")).alias("tokens"))
     pooled = retrieve.l2_normalize(retrieve.masked_mean("tokens", F.array(F.lit(1), F.lit(1), F.lit(1), F.lit(0))))
-    return e.select("vec_id", F.array_join(F.transform(pooled, lambda x: F.format_number(x, 6)), " ").alias("pooled"))
+    rows = e.select("vec_id", F.posexplode(pooled).alias("p", "value"))
+    return rows.select("vec_id", (F.col("p") + 1).cast("long").alias("dim"), F.round("value", 6).alias("value"))
 
 
 @_register("timing_rollup", """WITH t AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'retrieval' WHEN 'click' THEN 'embedding' WHEN 'purchase' THEN 'image_lookup' ELSE 'answer_formatting' END AS stage,
