@@ -218,6 +218,8 @@ def test_bm25_blocks_keep_the_best(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "BM25_QUESTIONS", 2)
     assert whole == {(r["question_id"], r["lexical_rank"]): r["chunk_id"] for r in retrieve.bm25(index, phrases, 5).collect()} and len(whole) == 45
     assert retrieve.bm25(index, phrases.where("false")).count() == 0
+    monkeypatch.setattr(retrieve, "ASKED", 0)  # more phrases than are sent to the tasks
+    assert whole == {(r["question_id"], r["lexical_rank"]): r["chunk_id"] for r in retrieve.bm25(index, phrases, 5).collect()}
 
 
 TWO = [
