@@ -191,8 +191,8 @@ def load(path: str) -> BpeTable:
         return BpeTable({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
-@functools.cache
 def _cache(path: str) -> WordCache:
+    """A cache for one task: kept with its worker, it would hold what the next stages need."""
     return WordCache(load(path).encode_words)
 
 

@@ -228,8 +228,12 @@ def score(text: Column, model: Model) -> Column:
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = model.scorer()
-        for texts in batches:
-            yield pd.Series(run(texts.fillna("").tolist()))
+        try:
+            for texts in batches:
+                yield pd.Series(run(texts.fillna("").tolist()))
+                release()
+        finally:
+            run = None  # its words go before what is free is handed back
             release()
 
     return scores(text)

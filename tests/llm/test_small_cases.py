@@ -511,3 +511,20 @@ def test_lean_slices_keep_every_row_in_order():
     assert [i for b in out for i in b.column("doc_id").to_pylist()] == [*range(8), 3]
     assert len(seen) > 3 and sum(seen) == 9
     assert [b.num_rows for b in lean(run)(iter([whole]))] == [8]
+
+
+def test_a_byte_bpe_task_leaves_no_words_with_its_worker():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    batch = lambda words: pa.record_batch({"doc_id": pa.array([1]), "text": pa.array([" ".join(f"{i:017b}".translate({48: "a", 49: "b"}) for i in range(words))])})
+    for run in (byte_bpe._digests(path, True), byte_bpe._ids(path)):
+        assert sum(b.num_rows for b in run(iter([batch(10)]))) == 1  # ranks and powers stay
+        tracemalloc.start()
+        try:
+            assert sum(b.num_rows for b in run(iter([batch(120_000)]))) == 1
+            assert tracemalloc.get_traced_memory()[0] < 4 << 20
+        finally:
+            tracemalloc.stop()
