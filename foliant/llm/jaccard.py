@@ -23,6 +23,7 @@ of blocks of that many entries, except those within the label that holds most of
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,6 +148,26 @@ def _prints(s: np.ndarray) -> tuple[int, int]:
 PROFILE = "doc_id long, n long, fp1 long, fp2 long, bits array<long>, slice int, cells binary, print long"
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """One slice of a task's cells: a byte a cell, then places and counts of those that need more, all compressed.
+
+    A task's counts are small, so a slice takes a few bits a cell: with plain numbers the cells of all tasks, whose
+    number grows with the corpus as the cells do, would outgrow the corpus.
+    """
+    more = np.flatnonzero(counts > 255)
+    run_lengths = zlib.compressobj(1, zlib.DEFLATED, zlib.MAX_WBITS, zlib.DEF_MEM_LEVEL, zlib.Z_RLE)
+    plain = np.minimum(counts, 255).astype(np.uint8).tobytes() + np.concatenate([more, counts[more]]).astype(np.int32).tobytes()
+    return run_lengths.compress(plain) + run_lengths.flush()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    plain = zlib.decompress(packed)
+    counts = np.frombuffer(plain, np.uint8, SLICE).astype(np.int64)
+    more, full = np.frombuffer(plain, np.int32, offset=SLICE).reshape(2, -1)
+    counts[more] = full
+    return counts
+
+
 def _profile(k: int, cell_bits: int):
     """Per document (doc_id, n, fp1, fp2, bits, print); per task, the number of documents in each cell, in slices."""
 
@@ -173,7 +194,7 @@ def _profile(k: int, cell_bits: int):
             )
         if any_:
             for i in range(0, len(cells) // SLICE, 64):
-                rows = [(j, cells[j * SLICE : (j + 1) * SLICE].tobytes()) for j in range(i, min(i + 64, len(cells) // SLICE))]
+                rows = [(j, _packed(cells[j * SLICE : (j + 1) * SLICE])) for j in range(i, min(i + 64, len(cells) // SLICE))]
                 none = pa.array([None] * len(rows), pa.int64())
                 bare = pa.array([None] * len(rows), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
@@ -186,7 +207,7 @@ def _profile(k: int, cell_bits: int):
 def _add_slices(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(SLICE, np.int64)
     for c in pdf["cells"]:
-        total += np.frombuffer(c, np.int32)
+        total += _unpacked(c)
     return pd.DataFrame({"slice": [int(pdf["slice"].iloc[0])], "cells": [total.tobytes()]})
 
 

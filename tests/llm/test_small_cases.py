@@ -528,3 +528,30 @@ def test_a_byte_bpe_task_leaves_no_words_with_its_worker():
             assert tracemalloc.get_traced_memory()[0] < 4 << 20
         finally:
             tracemalloc.stop()
+
+
+def test_cells_of_a_task_are_packed_without_loss():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    few = rng.poisson(1, jaccard.SLICE).astype(np.int32)
+    many = few.copy()
+    many[[0, 7, -1]] = 255, 256, 2**31 - 1
+    none = np.zeros_like(few)
+    for counts in (few, many, none, none + 70_000):
+        assert (jaccard._unpacked(jaccard._packed(counts)) == counts).all()
+    frame = pd.DataFrame({"slice": [3] * 3, "cells": [jaccard._packed(c) for c in (many, many, few)]})
+    total = jaccard._add_slices(frame)
+    assert (np.frombuffer(total["cells"][0], np.int64) == 2 * many.astype(np.int64) + few).all()
+
+
+def test_cells_do_not_outgrow_the_texts():
+    """A task's cells, at one shingle a cell, take less than its texts; four bytes a cell would take as much and more."""
+    import pyarrow as pa
+
+    text = " ".join(f"{i:x}" for i in range(1 << 16))
+    batch = pa.record_batch({"doc_id": pa.array([1]), "text": pa.array([text]), "print": pa.array([0])})
+    out = pa.Table.from_batches(jaccard._profile(3, 16)(iter([batch])))
+    cells = [c for c in out.column("cells").to_pylist() if c is not None]
+    assert len(cells) == (1 << 16) // jaccard.SLICE
+    assert sum(map(len, cells)) < (1 << 16) * 3 // 8
