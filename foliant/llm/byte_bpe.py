@@ -26,6 +26,8 @@ from foliant.llm.memory import lean
 from foliant.llm.pretoken import WordCache, encode_texts
 
 BUCKETS, LONG, ROWS = (4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 128, 256, 512, 1024), 1024, 1 << 16
+#: words that a task keeps the ids of, and bytes of texts that it takes at a time
+WORDS, SLICE = 200_000, 1 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -193,7 +195,7 @@ def load(path: str) -> BpeTable:
 
 def _cache(path: str) -> WordCache:
     """A cache for one task: kept with its worker, it would hold what the next stages need."""
-    return WordCache(load(path).encode_words)
+    return WordCache(load(path).encode_words, WORDS)
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -237,7 +239,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """``(doc_id, ids)`` of every row; a null or empty text has no ids. Repeated rows are encoded each."""
-    return _texts(docs).mapInArrow(lean(_ids(ranks_path), "text"), "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(lean(_ids(ranks_path), "text", SLICE), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -260,7 +262,7 @@ def digests(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFra
     A null text counts as empty: no ids, and the digests of nothing. Null and repeated ids are
     ordinary rows; an empty table gives an empty table; other columns are not read.
     """
-    return _texts(docs).mapInArrow(lean(_digests(ranks_path, with_ids), "text"), SCHEMA + ", ids array<int>" * with_ids)
+    return _texts(docs).mapInArrow(lean(_digests(ranks_path, with_ids), "text", SLICE), SCHEMA + ", ids array<int>" * with_ids)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

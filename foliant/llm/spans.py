@@ -104,7 +104,7 @@ class SpanIndex:
         if self.n * 5 > 2 << self.bits:
             used = self.code >= 0
             k1, k2, codes = (np.concatenate([a[used], b]) for a, b in ((self.k1, k1), (self.k2, k2), (self.code, codes)))
-            while self.n * 5 > 1 << self.bits:
+            while self.n * 5 > 2 << self.bits:
                 self.bits += 1
             self._alloc()
         slot = self._slot(k1)

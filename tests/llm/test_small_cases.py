@@ -555,3 +555,14 @@ def test_cells_do_not_outgrow_the_texts():
     cells = [c for c in out.column("cells").to_pylist() if c is not None]
     assert len(cells) == (1 << 16) // jaccard.SLICE
     assert sum(map(len, cells)) < (1 << 16) * 3 // 8
+
+
+def test_a_span_index_grows_no_more_than_it_needs():
+    from foliant.llm.spans import SpanIndex, mix
+
+    k = mix(np.arange(1, 60_001, dtype=np.uint64))
+    index = SpanIndex()
+    for part in np.array_split(k, 7):
+        index.add(part, mix(part))
+        assert len(index.code) <= max(1 << 17, 5 * index.n)
+    assert (index.find(k, mix(k)) == np.arange(len(k))).all() and (index.find(mix(k), k) == -1).all()
