@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.graph import connected_components
-from foliant.llm.memory import lean
+from foliant.llm.memory import lean, release_driver
 from foliant.llm.sieve import sift, without
 from foliant.llm.spans import mix, span_hashes
 from foliant.runtime import Scratch, materialize
@@ -519,6 +519,7 @@ def _answers(docs: DataFrame, k: int, percent: int, block_rows: int = BLOCK_ROWS
     lists = lists.withColumn("n", F.col("n").cast("long")).join(classes.select("fp1", "fp2", "n", F.col("cid").alias("id")), ["fp1", "fp2", "n"])
     lists = scratch.keep(lists.select("token", "id", F.col("n").cast("int").alias("n"), "pos"), "lists")
     order.unpersist()
+    release_driver(spark)
 
     compared, states = None, None
     for turn in range(LEADER_ROUNDS):
@@ -532,6 +533,7 @@ def _answers(docs: DataFrame, k: int, percent: int, block_rows: int = BLOCK_ROWS
         answers = _compare(scratch, pairs, n, known, classes, k, percent)
         compared = answers if compared is None else compared.unionByName(answers)
         states = _states(scratch, compared)
+        release_driver(spark)
 
     left = _cross_pairs(_placed(lists, states), classes, percent, block_rows)
     links = []
@@ -540,6 +542,7 @@ def _answers(docs: DataFrame, k: int, percent: int, block_rows: int = BLOCK_ROWS
         done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         left = left.join(done, ["a", "b"], "left_anti")
     left = scratch.keep(left, "rest")
+    release_driver(spark)
     links.append(left.where("linked").select("a", "b"))
     open_ = left.where("not linked").select("a", "b")
     if n := open_.count():
@@ -556,6 +559,7 @@ def _answers(docs: DataFrame, k: int, percent: int, block_rows: int = BLOCK_ROWS
     named = named.join(least, "comp").select("fp1", "fp2", "n", "least", (F.col("cid") == F.col("keeper")).alias("first"))
     named = materialize(named, "answers")
     scratch.drop()
+    release_driver(spark)
     found = profiles.drop("bits").join(named, ["fp1", "fp2", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     keeps = F.coalesce(F.col("first") & (F.col("doc_id") == F.col("least")), F.col("least").isNull() | F.col("doc_id").isNull())

@@ -566,3 +566,31 @@ def test_a_span_index_grows_no_more_than_it_needs():
         index.add(part, mix(part))
         assert len(index.code) <= max(1 << 17, 5 * index.n)
     assert (index.find(k, mix(k)) == np.arange(len(k))).all() and (index.find(mix(k), k) == -1).all()
+
+
+def _jvm_mb(spark) -> float:
+    pid = spark.sparkContext._jvm.java.lang.ProcessHandle.current().pid()
+    with open(f"/proc/{pid}/status") as f:
+        return next(int(x.split()[1]) for x in f if x.startswith("VmRSS")) / 1024
+
+
+def test_the_driver_hands_freed_native_memory_back(spark):
+    from foliant.llm import memory
+
+    make = spark.sparkContext._jvm.java.util.zip.Deflater
+    held = [make() for _ in range(800)]  # some 200 MB outside the heap
+    full = _jvm_mb(spark)
+    for x in held[:-1]:
+        x.end()
+    memory.release_driver(spark)
+    assert _jvm_mb(spark) < full - 80
+    held[-1].end()
+
+
+def test_near_copies_release_the_driver_after_every_round(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(jaccard, "release_driver", calls.append)
+    words = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(i, f"{words} x{i}") for i in range(4)], "doc_id long, text string")
+    assert jaccard.keep_one(docs).count() == 1
+    assert len(calls) >= 4  # after the lists, the leaders' answers, the rest and the components
