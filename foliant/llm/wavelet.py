@@ -11,6 +11,7 @@ Layout: magic, header length (u32), JSON header, then the sections that the head
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import struct
@@ -32,7 +33,6 @@ from foliant.llm.pretoken import WordCache, encode_texts
 from foliant.runtime import fresh_path, materialize
 
 MAGIC, BLOCK, END_ID, SHARD_TOKENS = b"WVMTRX1\n", 1 << 16, 2, 1 << 23
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 def build(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -47,16 +47,22 @@ def build(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> byt
     ]
     zeros, order = [], ids
     for k in range(bits - 1, -1, -1):
-        bit = (order >> order.dtype.type(k) & order.dtype.type(1)).astype(bool)
-        packed = np.packbits(bit)
-        ones, offsets, blocks = [0], [0], []
-        for at in range(0, len(packed), BLOCK // 8):
-            part = packed[at : at + BLOCK // 8]
-            blocks.append(z.compress(part.tobytes()))
-            ones.append(ones[-1] + int(_ONES[part].sum()))
+        bit = (order & order.dtype.type(1 << k)) != 0
+        ones, offsets, blocks, ordered = [0], [0], [], np.empty_like(order)
+        n_zeros = len(ids) - int(np.count_nonzero(bit))
+        # positions of a block at a time: masks over whole planes take about twice the time
+        for at in range(0, len(order), BLOCK):
+            own, part = order[at : at + BLOCK], bit[at : at + BLOCK]
+            blocks.append(z.compress(np.packbits(part).tobytes()))
+            zero, one = np.flatnonzero(~part), np.flatnonzero(part)
+            to = at - ones[-1]
+            ordered[to : to + len(zero)] = own[zero]
+            to = n_zeros + ones[-1]
+            ordered[to : to + len(one)] = own[one]
+            ones.append(ones[-1] + len(one))
             offsets.append(offsets[-1] + len(blocks[-1]))
         sections += [np.array([ones, offsets], np.uint64).tobytes(), b"".join(blocks)]
-        order = np.concatenate([order[~bit], order[bit]])
+        order = ordered
         zeros.append(len(ids) - ones[-1])
     head = json.dumps(
         {"n": len(ids), "bits": bits, "docs": len(doc_ids), "zeros": zeros, "sections": [len(s) for s in sections]}
@@ -102,10 +108,6 @@ class WaveletFile:
         part = self._z.decompress(self._view[start + int(offsets[b]) : start + int(offsets[b + 1])])
         return np.unpackbits(np.frombuffer(part, np.uint8))
 
-    def _plane(self, k: int) -> np.ndarray:
-        parts = [self._load(k, b) for b in range(len(self._dir[k][1]) - 1)]
-        return np.concatenate(parts)[: self.n].astype(bool) if parts else np.empty(0, bool)
-
     def _rank1(self, k: int, i: int) -> int:
         b, rest = divmod(i, BLOCK)
         before = int(self._dir[k][0][min(b, len(self._dir[k][0]) - 1)])
@@ -157,27 +159,49 @@ class WaveletFile:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         values = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
-            bit = self._plane(k)
-            up = np.empty(self.n, kind)
-            up[~bit] = values[: self.zeros[k]]
-            up[bit] = values[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
+            up, ones = np.empty(self.n, kind), self._dir[k][0].tolist()
+            for b in range(len(ones) - 1):
+                at = b * BLOCK
+                part = self._load(k, b)[: self.n - at].view(bool)
+                own, zero, one = up[at : at + BLOCK], np.flatnonzero(~part), np.flatnonzero(part)
+                since = at - ones[b]
+                own[zero] = values[since : since + len(zero)]
+                since = self.zeros[k] + ones[b]
+                own[one] = values[since : since + len(one)] | kind(1 << (self.bits - 1 - k))
             values = up
         return values
 
 
+def _byte_characters() -> dict[int, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones themselves, others from 256 on."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in kept]
+    return dict(zip(rest, range(256, 512)))
+
+
+_BYTES = _byte_characters()
+
+
 @functools.cache
 def _cache(path: str) -> tuple[WordCache, object, list[str]]:
     """Ids of pre-tokens, the tokenizer as its file sets it, and the added tokens, which it matches before it splits."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
     tokenizer, whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
+    model, pre = tokenizer.model, tokenizer.pre_tokenizer
+    plain = tokenizer.normalizer is None and isinstance(pre, ByteLevel) and not pre.add_prefix_space
+
     def words(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in tokenizer.encode_batch(new, add_special_tokens=False)]
+        if plain:  # pre-tokens are split already: the library's model takes them as they are
+            found = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(_BYTES))] for w in new]
+        else:
+            found = [e.ids for e in tokenizer.encode_batch(new, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
     return WordCache(words), whole, [t.content for t in whole.get_added_tokens_decoder().values()]
 

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from foliant.llm import byte_bpe, chat_format, exact_dedup, hnsw, jaccard, license_scan, mixing, quality, ring_sharding, wavelet
+from foliant.llm.pretoken import split
 from foliant.runtime import fresh_path
 
 LONG = "word " * 60_000
@@ -594,3 +596,40 @@ def test_near_copies_release_the_driver_after_every_round(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"{words} x{i}") for i in range(4)], "doc_id long, text string")
     assert jaccard.keep_one(docs).count() == 1
     assert len(calls) >= 4  # after the lists, the leaders' answers, the rest and the components
+
+
+def _cpu(run) -> float:
+    took = []
+    for _ in range(3):
+        since = time.process_time()
+        run()
+        took.append(time.process_time() - since)
+    return min(took)
+
+
+def test_wavelet_planes_are_read_a_block_at_a_time():
+    import tracemalloc
+
+    ids = np.random.default_rng(1).integers(0, 50_000, 1 << 20).astype(np.uint16)
+    shard = wavelet.WaveletFile(wavelet.build([1], [len(ids)], ids))
+    tracemalloc.start()
+    try:
+        assert (shard.all_ids() == ids).all()
+        assert tracemalloc.get_traced_memory()[1] < 5.5 * len(ids)  # two arrays of ids, and blocks
+    finally:
+        tracemalloc.stop()
+
+
+def test_wavelet_words_cost_less_than_texts_of_one_word():
+    from tokenizers import Tokenizer
+
+    rng, letters = np.random.default_rng(2), list("abcdehilnorst éß日🙂\x00\xad'")
+    new = [w for w in {"".join(rng.choice(letters, 9)) for _ in range(20_000)} if " " not in w]
+    new = [w for w in (x for w in new for x in (w, " " + w)) if len(split([w])[2]) == 2] + [chr(c) for c in range(0x21, 0x400)]
+    whole = Tokenizer.from_file(JSON)
+    ids, lengths = wavelet._cache(JSON)[0].encode(new)
+    want = [e.ids for e in whole.encode_batch(new, add_special_tokens=False)]
+    assert lengths.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    words = [f"{a}{b}ing" for a in new[:200] for b in new[200:250]]
+    encode = wavelet._cache(JSON)[0].encode
+    assert _cpu(lambda: encode(words)) < 0.85 * _cpu(lambda: [e.ids for e in whole.encode_batch(words, add_special_tokens=False)])
