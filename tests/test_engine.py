@@ -222,6 +222,25 @@ def test_bm25_blocks_keep_the_best(spark, monkeypatch):
     assert whole == {(r["question_id"], r["lexical_rank"]): r["chunk_id"] for r in retrieve.bm25(index, phrases, 5).collect()}
 
 
+def shuffled(spark):
+    """Bytes that all tasks of this session have written for shuffles."""
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_bm25_copies_no_postings(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, "", " ".join(rng.sample(words, 20))) for i in range(4000)]
+    index = retrieve.index_tokens(spark.createDataFrame(rows, "chunk_id long, section string, text string"))
+    asked = spark.createDataFrame([(q, rng.sample(words, 6)) for q in range(60)], "question_id long, terms array<string>")
+    monkeypatch.setattr(retrieve, "BM25_QUESTIONS", 20)
+    before = shuffled(spark)
+    assert retrieve.bm25(index, retrieve.question_phrases(asked), 5).count() == 300
+    # the postings, some 80,000 rows, leave no task
+    assert shuffled(spark) - before < 200_000
+
+
 TWO = [
     # two manuals that share page numbers and titles
     (1, "a", 1, 0, "Brakes", "Brake text a one. See ⇒ Lights."), (2, "a", 2, 0, "Brakes", "Brake text a two."), (3, "a", 5, 0, "Lights", "Light text a. Fig. 3"),
