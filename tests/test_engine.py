@@ -142,6 +142,18 @@ def test_reference_expansion_against_model(spark, limit):
     assert got == want
 
 
+def test_nearest_section_meets_no_pairs(spark):
+    rng = random.Random(3)
+    chunks = [(10 * p + i, "m", p, rng.randrange(5), "S" if p % 2 else "s", "t") for p in rng.sample(range(1, 3000), 1500) for i in range(2)]
+    refs = [(i, "m", "S", rng.randrange(-5, 3010), 1.0) for i in range(1200)] + [(-1, "x", "S", 1, 1.0), (-2, "m", "other", 1, 1.0)]
+    rows = spark.createDataFrame(chunks, "chunk_id long, manual string, page long, chunk_index int, section string, text string")
+    found = route.nearest_section(spark.createDataFrame(refs, "ref_id long, manual string, section string, page long, score double"), rows)
+    want = {r[0]: min(chunks, key=lambda c: (abs(c[2] - r[3]), c[3], c[2], c[0]))[0] for r in refs[:-2]}
+    assert {r["ref_id"]: r["chunk_id"] for r in found.collect()} == want
+    joins = [x for x in found._jdf.queryExecution().toString().splitlines() if "Join" in x and "[manual" in x]
+    assert joins and all("at#" in x for x in joins)  # by page too, so that a section is no pair of all its rows
+
+
 def test_expand_terms_cap(spark):
     frame = spark.createDataFrame([("aa bb cc", ["dd ee", "ff"]), ("aa bb cc dd", ["dd ff"]), ("aa bb cc dd", ["ff gg dd hh"]), ("aa", None)], "q string, s array<string>")
     got = [r[0] for r in frame.select(retrieve.expand_terms("q", "s", 4)).collect()]
