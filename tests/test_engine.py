@@ -176,6 +176,22 @@ def test_knn_against_brute_force(spark):
     assert got == {(i, k + 1): int(c) for i in range(20) for k, c in enumerate(np.argsort(far[i])[:5])}
 
 
+def test_knn_searches_equal_vectors_once(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(60, 8)), 3, 0)  # copies tie: the smaller id comes first
+    q = rng.normal(size=(7, 8))[np.arange(40) % 7]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, vector array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "question_id long, vector array<double>")
+    monkeypatch.setattr(retrieve, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(retrieve, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(retrieve, "KNN_QUERIES", 4)
+    found = retrieve.knn(vectors, queries, 5)
+    got = {(r["question_id"], r["vector_rank"]): r["chunk_id"] for r in found.collect()}
+    far = np.repeat(1 - q @ x[::3].T / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x[::3], axis=1)), 3, 1)
+    assert got == {(i, n + 1): int(c) for i in range(40) for n, c in enumerate(np.argsort(far[i], kind="stable")[:5])}
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
 def test_stemmed_bm25_against_fts5(spark):
     import sqlite3
 
