@@ -165,7 +165,7 @@ def pack_chunks(state: DataFrame, vocabulary: dict[str, int], limit: int = V.CHU
             yield (*key, i, context[1] or context[0], markdown, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = udfs.WordPiece(vocabulary)  # one a task: what it learns of words serves all pages
+        tokenizer = udfs.kept_tokenizer(vocabulary)  # what it learns of words serves all pages
         names = ["doc_id", "page_number", "kind", "chapter", "topic", "qualifier", "body"]
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()]
         held, key = [], None

@@ -368,6 +368,18 @@ def test_wordpiece():
     assert w.encode("air_bag", 6)[0] == [2, 4, 5, 6, 3, 0] and w.encode("a" * 120 + " " + "b" * 120, 5)[0] == [2, 7, 1, 3, 0]
 
 
+def test_words_are_counted_once(monkeypatch):
+    w, looked = udfs.WordPiece(fx.vocabulary()), []
+    basic = w.basic
+    monkeypatch.setattr(w, "basic", lambda text: looked.append(text) or basic(text))
+    text = "Thé air_bag\u2009engine's e\u0301t\u0301 ΟΔΟΣ\x1fthe nation! \u0301 ##ing x" * 3
+    whole = sum(len(w.pieces(t)) for t in basic(text)) + 2
+    assert w.count(text) == w.count(text) == whole and len(looked) == len(set(text.split()))
+    monkeypatch.setattr(udfs, "WORDS_KEPT", 2)
+    assert udfs.WordPiece(fx.vocabulary()).count(text) == whole and len(w.encode(text, 99)[0]) == 99
+    assert udfs.kept_tokenizer(fx.vocabulary()) is udfs.kept_tokenizer(fx.vocabulary()) is not udfs.kept_tokenizer({"[UNK]": 0})
+
+
 def test_timings(spark):
     ms = {
         "question_preparation": 1, "embedding": 12, "retrieval": 46, "evidence_check": 1, "answer_routing": 2, "companion_summary": 1000,
